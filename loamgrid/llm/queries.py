@@ -2,12 +2,21 @@
 
 from __future__ import annotations
 
+import public_tokenizers
 from pyspark.sql import DataFrame, SparkSession
 
+from loamgrid.llm.bpe import token_digests
 from loamgrid.llm.common import table
 from loamgrid.llm.exact_dedup import exact_groups
+from loamgrid.llm.packing import pack
 from loamgrid.llm.simhash import near_groups
 
+TOKENIZER = public_tokenizers.path("word_bpe_49k.json")
+
+
+def op5_bpe(spark: SparkSession, sf_dir: str) -> DataFrame:
+    return token_digests(table(spark, sf_dir, "documents"), TOKENIZER)
+
 
 def op6_simhash(spark: SparkSession, sf_dir: str) -> DataFrame:
     return near_groups(table(spark, sf_dir, "documents"))
@@ -17,7 +26,11 @@ def op7_exact_dedup(spark: SparkSession, sf_dir: str) -> DataFrame:
     return exact_groups(table(spark, sf_dir, "documents"))
 
 
-QUERIES = {f.__name__: f for f in (op6_simhash, op7_exact_dedup)}
+def op9_packing(spark: SparkSession, sf_dir: str) -> DataFrame:
+    return pack(table(spark, sf_dir, "documents"), TOKENIZER)
+
+
+QUERIES = {f.__name__: f for f in (op5_bpe, op6_simhash, op7_exact_dedup, op9_packing)}
 
 ORACLE_SQL = {
     "op7_exact_dedup": """
