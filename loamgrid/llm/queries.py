@@ -8,12 +8,27 @@ from pyspark.sql import DataFrame, SparkSession
 from loamgrid.llm.bpe import token_digests
 from loamgrid.llm.common import table
 from loamgrid.llm.exact_dedup import exact_groups
+from loamgrid.llm.html_text import extract
+from loamgrid.llm.langid import predict_held_out
 from loamgrid.llm.packing import pack
 from loamgrid.llm.simhash import near_groups
+from loamgrid.llm.toxicity import score_held_out
 
 TOKENIZER = public_tokenizers.path("word_bpe_49k.json")
 
 
+def op1_html_text(spark: SparkSession, sf_dir: str) -> DataFrame:
+    return extract(table(spark, sf_dir, "pages"))
+
+
+def op2_toxicity(spark: SparkSession, sf_dir: str) -> DataFrame:
+    return score_held_out(table(spark, sf_dir, "documents"), table(spark, sf_dir, "labels"))
+
+
+def op3_language_id(spark: SparkSession, sf_dir: str) -> DataFrame:
+    return predict_held_out(table(spark, sf_dir, "documents"))
+
+
 def op5_bpe(spark: SparkSession, sf_dir: str) -> DataFrame:
     return token_digests(table(spark, sf_dir, "documents"), TOKENIZER)
 
@@ -30,7 +45,7 @@ def op9_packing(spark: SparkSession, sf_dir: str) -> DataFrame:
     return pack(table(spark, sf_dir, "documents"), TOKENIZER)
 
 
-QUERIES = {f.__name__: f for f in (op5_bpe, op6_simhash, op7_exact_dedup, op9_packing)}
+QUERIES = {f.__name__: f for f in (op1_html_text, op2_toxicity, op3_language_id, op5_bpe, op6_simhash, op7_exact_dedup, op9_packing)}
 
 ORACLE_SQL = {
     "op7_exact_dedup": """
