@@ -5,6 +5,7 @@ from __future__ import annotations
 import public_tokenizers
 from pyspark.sql import DataFrame, SparkSession
 
+from loamgrid.llm import line_dedup, quality
 from loamgrid.llm.bpe import token_digests
 from loamgrid.llm.common import table
 from loamgrid.llm.exact_dedup import exact_groups
@@ -29,6 +30,10 @@ def op3_language_id(spark: SparkSession, sf_dir: str) -> DataFrame:
     return predict_held_out(table(spark, sf_dir, "documents"))
 
 
+def op4_quality_rules(spark: SparkSession, sf_dir: str) -> DataFrame:
+    return quality.assess(table(spark, sf_dir, "documents").select("doc_id", "text")).drop("text", "clean_text")
+
+
 def op5_bpe(spark: SparkSession, sf_dir: str) -> DataFrame:
     return token_digests(table(spark, sf_dir, "documents"), TOKENIZER)
 
@@ -41,13 +46,19 @@ def op7_exact_dedup(spark: SparkSession, sf_dir: str) -> DataFrame:
     return exact_groups(table(spark, sf_dir, "documents"))
 
 
+def op8_line_dedup(spark: SparkSession, sf_dir: str) -> DataFrame:
+    return line_dedup.drop_templates(table(spark, sf_dir, "documents").select("doc_id", "text")).drop("text")
+
+
 def op9_packing(spark: SparkSession, sf_dir: str) -> DataFrame:
     return pack(table(spark, sf_dir, "documents"), TOKENIZER)
 
 
-QUERIES = {f.__name__: f for f in (op1_html_text, op2_toxicity, op3_language_id, op5_bpe, op6_simhash, op7_exact_dedup, op9_packing)}
+QUERIES = {f.__name__: f for f in (op1_html_text, op2_toxicity, op3_language_id, op4_quality_rules, op5_bpe, op6_simhash, op7_exact_dedup, op8_line_dedup, op9_packing)}
 
 ORACLE_SQL = {
+    "op4_quality_rules": quality.oracle(),
+    "op8_line_dedup": line_dedup.oracle(),
     "op7_exact_dedup": """
 WITH t AS (SELECT doc_id, translate(coalesce(text, ''), 'ABCDEFGHIJKLMNOPQRSTUVWXYZ', 'abcdefghijklmnopqrstuvwxyz') AS norm FROM documents),
      g AS (SELECT norm, max(doc_id) AS keep_id, count(*) AS group_size FROM t GROUP BY norm)
