@@ -5,7 +5,7 @@ from __future__ import annotations
 import public_tokenizers
 from pyspark.sql import DataFrame, SparkSession
 
-from loamgrid.llm import line_dedup, quality
+from loamgrid.llm import line_dedup, ngram, quality
 from loamgrid.llm.bpe import token_digests
 from loamgrid.llm.common import table
 from loamgrid.llm.exact_dedup import exact_groups
@@ -54,7 +54,11 @@ def op9_packing(spark: SparkSession, sf_dir: str) -> DataFrame:
     return pack(table(spark, sf_dir, "documents"), TOKENIZER)
 
 
-QUERIES = {f.__name__: f for f in (op1_html_text, op2_toxicity, op3_language_id, op4_quality_rules, op5_bpe, op6_simhash, op7_exact_dedup, op8_line_dedup, op9_packing)}
+def op10_lm_score(spark: SparkSession, sf_dir: str) -> DataFrame:
+    return ngram.score_held_out(table(spark, sf_dir, "documents"))
+
+
+QUERIES = {f.__name__: f for f in (op1_html_text, op2_toxicity, op3_language_id, op4_quality_rules, op5_bpe, op6_simhash, op7_exact_dedup, op8_line_dedup, op9_packing, op10_lm_score)}
 
 ORACLE_SQL = {
     "op4_quality_rules": quality.oracle(),
