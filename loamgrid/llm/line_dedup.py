@@ -6,8 +6,9 @@ template if it has at least half of the leaf's lines, else the position is a var
 commonest tokens in most positions belongs to that template; any other is a template of its own. Templates that recur in enough
 documents are dropped everywhere.
 
-Leaves and lines travel as 64-bit hashes; texts only of lines in leaves with several variants, once for each variant and task, and of
-the documents for the last step. Hot lines are counted before each shuffle.
+Leaves and lines travel as 64-bit hashes, which are worked out once and kept in the shared folder; texts travel only of lines in
+leaves with several variants, once for each variant and task, and of the documents for the last step. Hot lines are counted before each
+shuffle.
 """
 
 from __future__ import annotations
@@ -21,11 +22,16 @@ from loamgrid.runtime import cut_lineage
 #: Leading tokens of a leaf; documents that make a template recurrent; share of positions in which a variant agrees with its template.
 DEPTH, MIN_DOCS, SIMILAR = 3, 8, 0.7
 FIELD = "<*>"
+#: Leaves with several variants that may be broadcast (16 bytes each); more are joined by a shuffle.
+BROADCAST_ROWS = 1_000_000
 
 
 def masked(line: Column) -> Column:
     """The line's tokens, one space apart, those with a digit as variable fields."""
-    plain = F.trim(F.regexp_replace(line, r"[\x20\x09-\x0D]+", " "))
+    odd = F.lit(False)
+    for c in ("  ", "\t", "\r", "\f", "\x0b"):
+        odd = odd | F.contains(line, F.lit(c))
+    plain = F.trim(F.when(odd, F.regexp_replace(line, r"[\x20\x09-\x0D]+", " ")).otherwise(line))
     return F.when(plain.rlike("[0-9]"), F.regexp_replace(plain, r"(?<![^ ])[^ 0-9]*+[0-9][^ ]*", FIELD)).otherwise(plain)
 
 
@@ -34,15 +40,26 @@ def leaf(line: Column) -> Column:
     return F.xxhash64(F.length(line) - F.length(F.replace(line, F.lit(" "), F.lit(""))), F.substring_index(line, " ", DEPTH))
 
 
-def templates(docs: DataFrame, min_docs: int = MIN_DOCS) -> DataFrame:
+def masked_lines(docs: DataFrame) -> DataFrame:
+    """doc_id, x: the masked lines that have a token."""
+    return docs.select("doc_id", F.explode(F.split("text", "\n")).alias("x")).select("doc_id", masked(F.col("x")).alias("x")).where("x != ''")
+
+
+def line_keys(docs: DataFrame) -> DataFrame:
+    """doc_id, leaf, line: hashes of the lines that have a token."""
+    return cut_lineage(masked_lines(docs).select("doc_id", leaf(F.col("x")).alias("leaf"), F.xxhash64("x").alias("line")))
+
+
+def templates(docs: DataFrame, min_docs: int = MIN_DOCS, keys: DataFrame | None = None) -> DataFrame:
     """line (hash of a masked line), template, docs: the variants of recurrent templates."""
-    lines = docs.select("doc_id", F.explode(F.split("text", "\n")).alias("x")).select("doc_id", masked(F.col("x")).alias("x")).where("x != ''")
-    hashed = lines.select("doc_id", leaf(F.col("x")).alias("leaf"), F.xxhash64("x").alias("line"))
-    counts = cut_lineage(hashed.groupBy("leaf", "line").agg(F.count_distinct(F.coalesce(F.col("doc_id"), F.lit(0)), F.col("doc_id").isNull()).alias("docs")))
-    leaves = counts.groupBy("leaf").agg(F.sum("docs").alias("total"), F.count("*").alias("variants")).where(F.col("total") >= min_docs)
+    keys = line_keys(docs) if keys is None else keys
+    counts = cut_lineage(keys.groupBy("leaf", "line").agg(F.count_distinct(F.coalesce(F.col("doc_id"), F.lit(0)), F.col("doc_id").isNull()).alias("docs")))
+    leaves = cut_lineage(counts.groupBy("leaf").agg(F.sum("docs").alias("total"), F.count("*").alias("variants")).where(F.col("total") >= min_docs))
     single = counts.join(leaves.where("variants = 1"), "leaf").select("leaf", "line", "docs")
-    several = leaves.where("variants > 1").select("leaf", "total")
-    variants = lines.select(leaf(F.col("x")).alias("leaf"), F.xxhash64("x").alias("line"), "x").join(several, "leaf").groupBy("leaf", "line").agg(F.first("x").alias("x"))
+    several = leaves.where("variants > 1").select("leaf")
+    few = several.limit(BROADCAST_ROWS + 1).count() <= BROADCAST_ROWS
+    found = masked_lines(docs).select(leaf(F.col("x")).alias("leaf"), "x").join(F.broadcast(several) if few else several, "leaf")
+    variants = found.select("leaf", F.xxhash64("x").alias("line"), "x").groupBy("leaf", "line").agg(F.first("x").alias("x"))
     variants = cut_lineage(variants.join(counts, ["leaf", "line"]))
     tokens = variants.select("leaf", "line", "docs", F.posexplode(F.split("x", " ")).alias("at", "token"))
     common = tokens.groupBy("leaf", "at", "token").agg(F.sum("docs").alias("n")).groupBy("leaf", "at").agg(F.max(F.struct("n", "token")).alias("top"), F.sum("n").alias("all"))
@@ -65,19 +82,19 @@ def drop_templates(docs: DataFrame, min_docs: int = MIN_DOCS) -> DataFrame:
     clean_text has the lines that are left, in order; lines without a token stay. Null text stays null with zero counts. Documents
     are told apart by doc_id: rows that repeat an id count once towards a template, and all null ids together count as one.
     """
-    tables = templates(docs.select("doc_id", "text"), min_docs).select("line", "docs")
-    lines = docs.select("doc_id", F.explode(F.split("text", "\n")).alias("x")).select("doc_id", masked(F.col("x")).alias("x")).where("x != ''").select("doc_id", F.xxhash64("x").alias("line"))
-    gone = lines.distinct().join(tables, "line").groupBy("doc_id").agg(F.collect_list("line").alias("_gone")).withColumnRenamed("doc_id", "_doc")
-    rest = others(docs, *OWN, "_gone", "_doc", "_lines", "_left")
+    keys = line_keys(docs.select("doc_id", "text"))
+    tables = templates(docs.select("doc_id", "text"), min_docs, keys).select("line")
+    gone = keys.select("doc_id", "line").join(tables, "line").groupBy("doc_id").agg(F.collect_set("line").alias("_gone")).withColumnRenamed("doc_id", "_doc")
+    rest = others(docs, *OWN, "_gone", "_doc", "_lines", "_left", "_some")
     joined = docs.select(*rest).join(gone, F.col("doc_id").eqNullSafe(F.col("_doc")), "left")
-    split = joined.withColumn("_lines", F.transform(F.split("text", "\n"), lambda x: F.struct(x.alias("x"), masked(x).alias("m"))))
-    hit = F.filter("_lines", lambda s: (s["m"] == "") | ~F.array_contains("_gone", F.xxhash64(s["m"])))
-    left = split.withColumn("_left", F.when(F.col("_gone").isNull(), F.col("_lines")).otherwise(hit))
+    split = joined.withColumn("_lines", F.split("text", "\n")).withColumn("_some", F.size(F.filter("_lines", lambda x: x.rlike(r"[^\x20\x09-\x0D]"))))
+    stays = F.filter("_lines", lambda x: ~F.array_contains("_gone", F.xxhash64(masked(x))))  # a line without a token has the hash of no line
+    left = split.withColumn("_left", F.when(F.col("_gone").isNull(), F.col("_lines")).otherwise(stays))
     return left.select(
         *rest,
-        F.coalesce(F.size(F.filter("_lines", lambda s: s["m"] != "")), F.lit(0)).cast("long").alias("n_lines"),
+        F.when(F.col("text").isNull(), 0).otherwise(F.col("_some")).cast("long").alias("n_lines"),
         F.when(F.col("text").isNull(), 0).otherwise(F.size("_lines") - F.size("_left")).cast("long").alias("n_dropped"),
-        F.array_join(F.transform("_left", lambda s: s["x"]), "\n").alias("clean_text"),
+        F.array_join("_left", "\n").alias("clean_text"),
     )
 
 
