@@ -89,11 +89,16 @@ class EliasFano:
 
 def search(words: np.ndarray, width: int, begin: np.ndarray, end: np.ndarray, target: np.ndarray) -> np.ndarray:
     """Position of each target among packed integers that ascend in [begin, end), or -1."""
-    first, last, n = begin.copy(), end.copy(), len(words) * 64 // max(1, width)
-    while (open_ := first < last).any():
-        middle = np.minimum((first + last) >> 1, n - 2)
-        less = unpack(words, width, middle) < target
-        first, last = np.where(open_ & less, middle + 1, first), np.where(open_ & ~less, middle, last)
-    hit = first < end
-    hit[hit] = unpack(words, width, first[hit]) == target[hit]
-    return np.where(hit, first, -1)
+    out = np.full(len(begin), -1)
+    at = np.flatnonzero(begin < end)
+    first, last, target = begin[at], end[at], target[at]
+    while len(at):
+        middle = (first + last) >> 1
+        value = unpack(words, width, middle)
+        hit = value == target
+        out[at[hit]] = middle[hit]
+        less = value < target
+        first, last = np.where(less, middle + 1, first), np.where(less, last, middle)
+        go = (first < last) & ~hit
+        at, first, last, target = at[go], first[go], last[go], target[go]
+    return out

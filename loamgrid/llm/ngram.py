@@ -23,13 +23,13 @@ import uuid
 from collections import Counter
 from collections.abc import Iterator
 from dataclasses import dataclass, field
-from itertools import chain
+from itertools import chain, repeat
 
 import numpy as np
 import pyarrow as pa
 import pyarrow.fs
 import xxhash
-from pyspark.sql import Column, DataFrame, SparkSession
+from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 from pyspark.sql import types as T
 
@@ -43,6 +43,8 @@ ORDER, SHARE, LEAST, DISCOUNT = 3, 2e-5, 2, 0.75
 #: Quantisation: log10 from LOWEST to 0 in 2^16 - 1 steps.
 LOWEST = -16.0
 REMEMBERED, CHARS_AT_ONCE = 600_000, 1 << 21
+#: Contexts of a segment whose pointers a worker keeps decoded (8 bytes each).
+DECODED = 1 << 17
 #: Rows of a segment, about.
 SEGMENT = 1 << 22
 
@@ -109,7 +111,13 @@ def load(path: str) -> np.ndarray:
         return np.frombuffer(f.read(), np.uint8)
 
 
-@dataclass
+@functools.lru_cache(maxsize=16)
+def decoded(path: str, n: int, segment: Segment) -> np.ndarray:
+    """All pointers of a segment with few contexts."""
+    return segment.sequence("pointer", n + 1).get(np.arange(n + 1)).astype(np.int64)
+
+
+@dataclass(eq=False)
 class Segment:
     first: int  # smallest hash or context
     base: int  # n-grams in the segments before
@@ -122,6 +130,18 @@ class Segment:
         _, kind, n, at = next(p for p in self.parts if p[0] == name)
         return load(self.path)[at : at + n * np.dtype(kind).itemsize].view(kind)
 
+    def range(self, context: np.ndarray) -> tuple[np.ndarray, np.ndarray]:
+        """Where the children of contexts begin and end."""
+        n = self.size["contexts"]
+        if n <= DECODED:
+            pointer = decoded(self.path, n, self)
+            return pointer[context], pointer[context + 1]
+        pointer = self.sequence("pointer", n + 1)
+        return pointer.get(context).astype(np.int64), pointer.get(context + 1).astype(np.int64)
+
+    def __hash__(self) -> int:
+        return hash(self.path)
+
     def sequence(self, name: str, n: int) -> EliasFano:
         return EliasFano(n, self.size[name], *(self.array(f"{name}_{x}") for x in EliasFano.NAMES))
 
@@ -159,8 +179,7 @@ class Level:
             own = context[at] - s.first
             inside = own < s.size["contexts"]
             at, own = at[inside], own[inside]
-            pointer = s.sequence("pointer", s.size["contexts"] + 1)
-            begin, end = pointer.get(own).astype(np.int64), pointer.get(own + 1).astype(np.int64)
+            begin, end = s.range(own)
             found = search(s.array("word"), s.size["word"], begin, end, word[at].astype(U))
             out[at] = np.where(found >= 0, found + s.base, -1)
         return out
@@ -193,11 +212,11 @@ class Model:
     vocabulary: np.ndarray  # hashes of the frequent words, ascending; a word's number is its place; one more number begins texts
     counts: np.ndarray  # of the frequent words
     levels: list[Level]  # levels[0] has level 1
-    known: dict[bytes, int] = field(default_factory=dict)
-    slots: list[np.ndarray] = field(default_factory=list)
+    frequent: dict[bytes, int] = field(default_factory=dict)  # numbers of frequent words that have come up
+    known: dict[bytes, int] = field(default_factory=dict)  # counts of other words that have come up
 
     def __getstate__(self) -> dict:
-        return self.__dict__ | {"known": {}, "slots": []}
+        return self.__dict__ | {"frequent": {}, "known": {}}
 
     @property
     def begin(self) -> int:
@@ -206,28 +225,35 @@ class Model:
     def base_log(self, counts: np.ndarray) -> np.ndarray:
         return np.log10((counts + 1) / (self.total + self.distinct + 1))
 
+    def _look_up(self, new: list[bytes]) -> None:
+        """Remembers words that haven't come up."""
+        if len(self.known) > REMEMBERED:
+            self.known.clear()
+        codes = np.fromiter(map(code, new), U, len(new))
+        place = np.searchsorted(self.vocabulary, codes)
+        often = place < len(self.vocabulary)
+        often[often] = self.vocabulary[place[often]] == codes[often]
+        self.frequent.update((new[i], int(place[i])) for i in np.flatnonzero(often).tolist())
+        rest = np.flatnonzero(~often)
+        rest = rest[np.argsort(codes[rest])]
+        counts = self.levels[0].counts(codes[rest]) if self.levels else np.zeros(len(rest), np.int64)
+        self.known.update(zip([new[i] for i in rest.tolist()], counts.tolist(), strict=True))
+
     def words(self, some: list[bytes]) -> tuple[np.ndarray, np.ndarray]:
-        """Number in the vocabulary (-1: not frequent) and count of each word; what was looked up is remembered."""
-        known = self.known
+        """Number in the vocabulary (-1: not frequent) and count of each word."""
+        number = np.fromiter(map(self.frequent.get, some, repeat(-1)), np.int64, len(some))
+        rest = np.flatnonzero(number < 0)
+        others = [some[i] for i in rest.tolist()]
+        counts = np.r_[self.counts, 0][number]
         try:
-            slot = np.fromiter(map(known.__getitem__, some), np.int64, len(some))
+            counts[rest] = np.fromiter(map(self.known.__getitem__, others), np.int64, len(rest))
         except KeyError:
-            if len(known) > REMEMBERED:
-                known.clear()
-                self.slots = []
-            new = list(set(some) - known.keys())
-            codes = np.fromiter(map(code, new), U, len(new))
-            order = np.argsort(codes)
-            counts = np.empty(len(new), np.int64)
-            counts[order] = self.levels[0].counts(codes[order]) if self.levels else 0
-            place = np.searchsorted(self.vocabulary, codes)
-            frequent = place < len(self.vocabulary)
-            frequent[frequent] = self.vocabulary[place[frequent]] == codes[frequent]
-            numbers = np.where(frequent, place, -1)
-            self.slots = [np.concatenate([a, b]) for a, b in zip(self.slots, (numbers, counts), strict=True)] if self.slots else [numbers, counts]
-            known.update(zip(new, range(len(known), len(known) + len(new)), strict=True))
-            slot = np.fromiter(map(known.__getitem__, some), np.int64, len(some))
-        return (self.slots[0][slot], self.slots[1][slot]) if self.slots else (np.zeros(0, np.int64), np.zeros(0, np.int64))
+            self._look_up(list(set(others) - self.known.keys() - self.frequent.keys()) if len(self.known) <= REMEMBERED else list(set(others) - self.frequent.keys()))
+            number[rest] = np.fromiter(map(self.frequent.get, others, repeat(-1)), np.int64, len(rest))
+            counts[rest] = np.r_[self.counts, 0][number[rest]]
+            still = rest[number[rest] < 0]
+            counts[still] = np.fromiter((self.known[some[i]] for i in still.tolist()), np.int64, len(still))
+        return number, counts
 
     def read(self, some: list[str]) -> tuple[np.ndarray, np.ndarray, np.ndarray]:
         """Of all texts' tokens in a row: number, count, and where each text begins."""
@@ -237,6 +263,28 @@ class Model:
         begins = np.r_[0, np.cumsum([len(p) for p in parts])[:-1]].astype(np.int64)
         return (*self.words(list(chain.from_iterable(parts))), begins)
 
+    def encode(self, some: list[str]) -> list[tuple[int, int, float, bytes]]:
+        """(tokens, known tokens, base score, tokens' numbers) of each text."""
+        number, count, begins = self.read(some)
+        if not len(begins):
+            return []
+        ends = np.r_[begins[1:], len(number)]
+        known, base = np.add.reduceat((count > 0).astype(np.int64), begins), np.add.reduceat(self.base_log(count), begins)
+        small = number.astype(self.kind)
+        return [(int(b - a), int(k), float(x), small[a:b].tobytes()) for a, b, k, x in zip(begins, ends, known, base, strict=True)]
+
+    @property
+    def kind(self) -> type:
+        """Type of kept numbers; -1 is its largest value if it is unsigned."""
+        return np.uint16 if self.begin < 65_535 else np.int32
+
+    def decode(self, codes: list[bytes]) -> tuple[np.ndarray, np.ndarray]:
+        """All texts' numbers in a row, and where each begins."""
+        number = np.frombuffer(b"".join(codes), self.kind).astype(np.int64)
+        if self.kind is np.uint16:
+            number[number == 65_535] = -1
+        return number, np.r_[0, np.cumsum([len(c) // np.dtype(self.kind).itemsize for c in codes])[:-1]].astype(np.int64)
+
     def contexts(self, number: np.ndarray, begins: np.ndarray, order: int) -> tuple[np.ndarray, np.ndarray]:
         """For each token the number of the n-gram of the order-1 tokens before it (-1: none), and of the one it ends of that order."""
         before = np.r_[-1, number[:-1]]
@@ -253,11 +301,13 @@ class Model:
             before[begins] = -1
         return before, here
 
-    def score(self, some: list[str]) -> list[tuple[int, int, float, float]]:
-        """(tokens, known tokens, base score, score) of each text."""
-        number, count, begins = self.read(some)
-        base = self.base_log(count)
-        log = base.copy()
+    def score(self, codes: list[bytes], base: np.ndarray) -> np.ndarray:
+        """Scores of texts from their tokens' numbers and base scores: what the levels change of the base score."""
+        number, begins = self.decode(codes)
+        if not len(begins):
+            return np.zeros(0)
+        own = self.base_log(np.r_[self.counts, 0])
+        change = np.zeros(len(number))
         before = np.r_[-1, number[:-1]]
         before[begins] = self.begin
         for level in self.levels[1:]:
@@ -265,16 +315,13 @@ class Model:
             found = np.full(len(number), -1, np.int64)
             fit = ok[number[ok] >= 0]
             found[fit] = level.find(before[fit], number[fit])
-            hit = found >= 0
-            miss = ok[~hit[ok]]
-            log[miss] += level.weights(before[miss])
-            log[hit] = restore(level.take("log", found[hit]))
+            hit = np.flatnonzero(found >= 0)
+            miss = ok[found[ok] < 0]
+            change[miss] += level.weights(before[miss])
+            change[hit] = restore(level.take("log", found[hit])) - own[number[hit]]
             before = np.r_[-1, found[:-1]]
             before[begins] = -1
-        size = np.diff(np.r_[begins, len(number)])
-        if not len(begins):
-            return []
-        return list(zip(size.tolist(), np.add.reduceat((count > 0).astype(np.int64), begins).tolist(), np.add.reduceat(base, begins).tolist(), np.add.reduceat(log, begins).tolist(), strict=True))
+        return base + np.add.reduceat(change, begins)
 
 
 # --- counting and building ---------------------------------------------------------------------------------------------------
@@ -326,35 +373,64 @@ def _build_words(keys: np.ndarray, n: np.ndarray):
 
 def train(docs: DataFrame, order: int = ORDER, share: float = SHARE, least: int = LEAST) -> Model:
     """A model of all rows of docs (text); see the module's notes. The segments lie in a new folder of the shared one."""
+    model, folder = train_words(docs, share, least)
+    return train_levels(encode(docs, model, []), model, folder, order, least)
+
+
+def train_words(docs: DataFrame, share: float = SHARE, least: int = LEAST) -> tuple[Model, str]:
+    """Level 1 and the frequent words, and the folder for the other levels."""
     spark: SparkSession = docs.sparkSession
     folder = scratch(spark, "ngram")
     docs = docs.select("text")
     counts = cut_lineage(docs.mapInArrow(_word_counts, "key long, n long").groupBy("key").agg(F.sum("n").alias("n")))
     total, distinct, ends = counts.agg(F.sum("n"), F.count("*"), F.max(F.when(F.col("key") == int(signed(np.array([code(END)], U))[0]), F.col("n")))).first()
     if not distinct:
-        return Model(0, 0, 0, np.zeros(0, U), np.zeros(0, np.int64), [])
+        return Model(0, 0, 0, np.zeros(0, U), np.zeros(0, np.int64), []), folder
     parts = max(1, -(-distinct // SEGMENT))
     words = Level(_segments(counts.repartitionByRange(parts, "key").sortWithinPartitions("key"), _build_words, folder))
     frequent = counts.where(F.col("n") >= max(least, share * total)).collect()  # at most 1 / share rows
     keys = np.array(sorted((r.key, r.n) for r in frequent), np.int64).reshape(-1, 2)
-    model = Model(total, distinct, ends, unsigned(np.ascontiguousarray(keys[:, 0])), keys[:, 1].copy(), [words])
-    for n in range(2, order + 1):
-        model.levels.append(_level(docs, model, n, least, f"{folder}/{n}"))
+    return Model(total, distinct, ends, unsigned(np.ascontiguousarray(keys[:, 0])), keys[:, 1].copy(), [words]), folder
+
+
+ENCODED = [T.StructField("n_tokens", T.LongType()), T.StructField("n_known", T.LongType()), T.StructField("base_score", T.DoubleType()), T.StructField("codes", T.BinaryType())]
+
+
+def encode(docs: DataFrame, model: Model, keep: list[str]) -> DataFrame:
+    """docs' `keep` columns with n_tokens, n_known, base_score and codes, kept in the shared folder: texts are looked up once."""
+    shared = docs.sparkSession.sparkContext.broadcast(model)  # the frequent words (at most 1 / share) and a list of segments
+
+    def start():
+        def work(batch: pa.RecordBatch) -> list[pa.Array]:
+            some = texts(batch)
+            found = [x for a, b in pieces([len(t) for t in some], CHARS_AT_ONCE) for x in shared.value.encode(some[a:b])]
+            return [pa.array(x, t) for x, t in zip(zip(*found, strict=True), (pa.int64(), pa.int64(), pa.float64(), pa.binary()), strict=True)]
+
+        return work
+
+    return cut_lineage(map_batches(docs.select(*dict.fromkeys([*keep, "text"])), start, ENCODED, keep))
+
+
+def train_levels(encoded: DataFrame, model: Model, folder: str, order: int, least: int = LEAST) -> Model:
+    """The model with the levels from 2 on, from encoded texts (codes)."""
+    if model.levels:
+        for n in range(2, order + 1):
+            model.levels.append(_level(encoded.select("codes"), model, n, least, f"{folder}/{n}"))
     return model
 
 
-def _level(docs: DataFrame, model: Model, n: int, least: int, folder: str) -> Level:
-    """Level n from the texts and the levels below; its n-grams' beginnings and ends are n-grams of the level below."""
+def _level(encoded: DataFrame, model: Model, n: int, least: int, folder: str) -> Level:
+    """Level n from encoded texts and the levels below; its n-grams' beginnings and ends are n-grams of the level below."""
     wide = model.begin + 1
-    shared = docs.sparkSession.sparkContext.broadcast(model)  # the frequent words and the lists of segments
+    shared = encoded.sparkSession.sparkContext.broadcast(model)  # the frequent words and the lists of segments
 
     def count(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         m: Model = shared.value
         for batch in batches:
-            some = texts(batch)
-            found = []
-            for a, b in pieces([len(t) for t in some], CHARS_AT_ONCE):
-                number, _, begins = m.read(some[a:b])
+            codes = batch.column(0).to_pylist()
+            found = [np.zeros(0, np.int64)]
+            for a, b in pieces([len(c) for c in codes], CHARS_AT_ONCE):
+                number, begins = m.decode(codes[a:b])
                 if n == 2:
                     before, ok = np.r_[-1, number[:-1]], number >= 0
                     before[begins] = m.begin
@@ -367,7 +443,7 @@ def _level(docs: DataFrame, model: Model, n: int, least: int, folder: str) -> Le
             keys, times = np.unique(np.concatenate(found), return_counts=True)
             yield pa.RecordBatch.from_arrays([pa.array(keys), pa.array(times)], names=["key", "n"])
 
-    counts = docs.mapInArrow(count, "key long, n long").groupBy("key").agg(F.sum("n").alias("n")).where(F.col("n") >= least)
+    counts = encoded.mapInArrow(count, "key long, n long").groupBy("key").agg(F.sum("n").alias("n")).where(F.col("n") >= least)
     counts = cut_lineage(counts.withColumn("context", F.expr(f"key div {wide}")))
     rows = counts.count()
     parts = max(1, -(-rows // SEGMENT))
@@ -407,31 +483,38 @@ def _lower(m: Model, n: int, context: np.ndarray, word: np.ndarray) -> np.ndarra
     return restore(m.levels[n - 2].take("log", _last(m, n, context, word)))
 
 
-SCORES = [T.StructField("n_tokens", T.LongType()), T.StructField("n_known", T.LongType()), T.StructField("train_tokens", T.LongType()), T.StructField("base_score", T.DoubleType()), T.StructField("score", T.DoubleType())]
-
-
-def score(docs: DataFrame, model: Model, keep: list[str | Column]) -> DataFrame:
-    """docs' `keep` columns with n_tokens, n_known, train_tokens, base_score and score. A null text is an end alone."""
-    shared = docs.sparkSession.sparkContext.broadcast(model)
+def score_encoded(encoded: DataFrame, model: Model, keep: list[str]) -> DataFrame:
+    """`keep` columns, n_tokens, n_known, train_tokens, base_score, score of encoded texts."""
+    shared = encoded.sparkSession.sparkContext.broadcast(model)
 
     def start():
         def work(batch: pa.RecordBatch) -> list[pa.Array]:
-            m: Model = shared.value
-            some = texts(batch)
-            n, known, base, log = zip(*(x for a, b in pieces([len(t) for t in some], CHARS_AT_ONCE) for x in m.score(some[a:b])), strict=True)
-            return [pa.array(n, pa.int64()), pa.array(known, pa.int64()), pa.array([m.total] * len(n), pa.int64()), pa.array(base, pa.float64()), pa.array(log, pa.float64())]
+            codes = batch.column("codes").to_pylist()
+            base = batch.column("base_score").to_numpy()
+            found = [shared.value.score(codes[a:b], base[a:b]) for a, b in pieces([len(c) for c in codes], CHARS_AT_ONCE)]
+            return [pa.array([shared.value.total] * len(codes), pa.int64()), pa.array(np.concatenate(found))]
 
         return work
 
-    return map_batches(docs.select(*dict.fromkeys([*keep, "text"])), start, SCORES, keep)
+    held = [*keep, "n_tokens", "n_known", "base_score"]
+    out = map_batches(encoded.select(*held, "codes"), start, [T.StructField("train_tokens", T.LongType()), T.StructField("score", T.DoubleType())], held)
+    return out.select(*keep, "n_tokens", "n_known", "train_tokens", "base_score", "score")
+
+
+def score(docs: DataFrame, model: Model, keep: list[str]) -> DataFrame:
+    """docs' `keep` columns with n_tokens, n_known, train_tokens, base_score and score. A null text is an end alone."""
+    return score_encoded(encode(docs, model, keep), model, keep)
 
 
-def score_held_out(docs: DataFrame, folds: int = 7, out: int = 2, **options) -> DataFrame:
+def score_held_out(docs: DataFrame, folds: int = 7, out: int = 2, order: int = ORDER, share: float = SHARE, least: int = LEAST) -> DataFrame:
     """doc_id, held_out, n_tokens, n_known, train_tokens, base_score, score for every row of docs (doc_id, text).
 
     The model learns from all rows whose fold (crc32 of the id as text, modulo folds; null counts as empty text) is not `out`. Null
     and empty texts are an end alone; rows that repeat are counted and scored as often; other columns are ignored. Without a training
     row every probability is 1 and every score 0. Words are told apart by 64-bit hashes.
     """
-    model = train(docs.where(fold("doc_id", folds) != out), **options)
-    return score(docs.select("doc_id", "text", (fold("doc_id", folds) == out).alias("held_out")), model, ["doc_id", "held_out"])
+    flagged = docs.select("doc_id", "text", (fold("doc_id", folds) == out).alias("held_out"))
+    model, folder = train_words(flagged.where("NOT held_out"), share, least)
+    encoded = encode(flagged, model, ["doc_id", "held_out"])
+    model = train_levels(encoded.where("NOT held_out"), model, folder, order, least)
+    return score_encoded(encoded, model, ["doc_id", "held_out"])
