@@ -82,7 +82,8 @@ def undirected_angle(dx, dy) -> Column:
 
 def azimuth(dx, dy) -> Column:
     """Angle of a direction in 0..360, counter-clockwise from the x axis."""
-    return F.pmod(F.degrees(F.atan2(_c(dy), _c(dx))), F.lit(360.0))
+    a = F.degrees(F.atan2(_c(dy), _c(dx)))
+    return F.when(a < 0, a + 360.0).otherwise(a)
 
 
 def project_on_line(px, py, x1, y1, x2, y2) -> Column:

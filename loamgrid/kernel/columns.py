@@ -6,9 +6,15 @@ import numpy as np
 import pandas as pd
 from pyspark.sql import functions as F
 
-from loamgrid.functions.geometry import MULTIPOLYGON, POLYGON
+from pyspark.sql import types as T
+
 from loamgrid.kernel import planar
 
+#: Types as objects: workers that import this module have no session to parse type strings with.
+POINT = T.StructType([T.StructField("x", T.DoubleType()), T.StructField("y", T.DoubleType())])
+POLYGON = T.ArrayType(T.ArrayType(POINT))
+MULTIPOLYGON = T.ArrayType(POLYGON)
+
 
 def to_polygon(geom) -> planar.Polygon:
     """Nested rows (rings of points) to arrays; null to an empty polygon."""
@@ -51,12 +57,12 @@ def make_valid(geom: pd.Series) -> pd.Series:
     return pd.Series([[from_polygon(p) for p in planar.make_valid(to_polygon(g))] for g in geom])
 
 
-@F.pandas_udf("boolean")
+@F.pandas_udf(T.BooleanType())
 def is_valid(geom: pd.Series) -> pd.Series:
     return pd.Series([planar.is_valid(to_polygon(g)) for g in geom], dtype=bool)
 
 
-@F.pandas_udf("boolean")
+@F.pandas_udf(T.BooleanType())
 def intersects(a: pd.Series, b: pd.Series) -> pd.Series:
     """Whether two polygons share a point: an exact test for pairs that a grid join has found."""
     return pd.Series([bool(len(planar.meet([to_polygon(x)], [to_polygon(y)]))) for x, y in zip(a, b, strict=True)], dtype=bool)
@@ -68,7 +74,7 @@ def min_rectangle(geom: pd.Series) -> pd.Series:
     return pd.Series([[from_ring(planar.min_area_rectangle(to_polygon(g)[0]))] if g is not None and len(g) else None for g in geom])
 
 
-@F.pandas_udf("struct<x:double,y:double>")
+@F.pandas_udf(POINT)
 def point_on_surface(geom: pd.Series) -> pd.DataFrame:
     """A point inside each polygon."""
     found = [planar.inner_point(to_polygon(g)) if g is not None and len(g) else (None, None) for g in geom]

@@ -55,7 +55,7 @@ def residential_filter(buildings: DataFrame, codes: DataFrame, min_area: float =
     grouped = touching_groups(area(left), on=on)
     big = grouped.groupBy("group_id").agg(F.sum("area").alias("_sum")).where(F.col("_sum") > min_area).select("group_id")
     kept = grouped.join(big, "group_id", "left_semi").where(F.col("area") > single_area).drop("group_id", "area")
-    return merge_layers(touching_groups(kept, on=on), touching_groups(whole, on=on))
+    return touching_groups(merge_layers(kept, whole), on=on)
 
 
 def patch_remove(patches: DataFrame, buildings: DataFrame, key: str = "patch_id", min_patch: float = 10_000.0, min_buildings: int = 20, footprint_sum: float = 6_000.0, density: float = 18.0, on=("pid",), refine=None) -> DataFrame:

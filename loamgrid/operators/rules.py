@@ -26,11 +26,15 @@ def near_enough(lines: Column) -> Column:
 
 def not_into_start_box(lines: Column, keep: int = KEEP) -> Column:
     """Rule 2: without lines that end inside the box of all starts, unless fewer than `keep` were left; then the shortest of them stay."""
-    low = lambda k: F.array_min(F.transform(lines, lambda x: x[k])) - TOLERANCE
-    high = lambda k: F.array_max(F.transform(lines, lambda x: x[k])) + TOLERANCE
-    inside = lambda x: (x["x2"] >= low("x1")) & (x["x2"] <= high("x1")) & (x["y2"] >= low("y1")) & (x["y2"] <= high("y1"))
-    out, back = F.filter(lines, lambda x: ~inside(x)), by_distance(F.filter(lines, inside))
-    return F.when(F.size(out) >= keep, out).otherwise(F.concat(out, F.slice(back, F.lit(1), F.greatest(F.lit(keep) - F.size(out), F.lit(0)))))
+    low = lambda k: (F.array_min(F.transform(lines, lambda x: x[k])) - TOLERANCE).alias("low_" + k)
+    high = lambda k: (F.array_max(F.transform(lines, lambda x: x[k])) + TOLERANCE).alias("high_" + k)
+
+    def split(box):
+        inside = lambda x: (x["x2"] >= box["low_x1"]) & (x["x2"] <= box["high_x1"]) & (x["y2"] >= box["low_y1"]) & (x["y2"] <= box["high_y1"])
+        refill = lambda out: F.concat(out, F.slice(by_distance(F.filter(lines, inside)), F.lit(1), F.greatest(F.lit(keep) - F.size(out), F.lit(0))))
+        return let(F.filter(lines, lambda x: ~inside(x)), refill)
+
+    return let(F.struct(low("x1"), low("y1"), high("x1"), high("y1")), split)
 
 
 def parallel(a: Column, b: Column) -> Column:
@@ -61,8 +65,8 @@ def all_parallel(lines: Column) -> Column:
     return (F.size(lines) == 4) & (F.array_max(a) - F.array_min(a) <= ALL_PARALLEL)
 
 
-def no_angle_outlier(lines: Column, keep: int = KEEP) -> Column:
-    """Rule 4: of three or more groups of angles, without that of the largest mean distance, if it is over OUTLIER times the second."""
+def angle_groups(lines: Column) -> Column:
+    """The lines in order of angle with their group's number: array<struct<group,angle,distance,seq>>; steps up to SIMILAR join."""
     order = F.array_sort(lines, lambda a, b: F.when(a["angle"] < b["angle"], -1).when(a["angle"] > b["angle"], 1).otherwise((a["seq"] - b["seq"]).cast("int")))
     kind = "array<struct<group:int,angle:double,distance:double,seq:bigint>>"
 
@@ -71,28 +75,50 @@ def no_angle_outlier(lines: Column, keep: int = KEEP) -> Column:
         group = F.when(F.size(done) == 0, 0).when(x["angle"] - last["angle"] <= SIMILAR, last["group"]).otherwise(last["group"] + 1)
         return F.concat(done, F.array(F.struct(group.cast("int").alias("group"), x["angle"].cast("double").alias("angle"), x["distance"].cast("double").alias("distance"), x["seq"].cast("bigint").alias("seq"))))
 
-    grouped = F.aggregate(order, F.array().cast(kind), number)
-    groups = F.array_distinct(F.transform(grouped, lambda g: g["group"]))
+    return F.aggregate(order, F.array().cast(kind), number)
+
 
-    def mean(g):
+def group_means(grouped: Column) -> Column:
+    """array<struct<m,g,n>>: each group's mean distance (negative, so that the largest comes first), number and size, sorted."""
+
+    def one(g):
         mine = F.filter(grouped, lambda x: x["group"] == g)
-        return F.aggregate(mine, F.lit(0.0), lambda s, x: s + x["distance"]) / F.size(mine)
+        return F.struct((-F.aggregate(mine, F.lit(0.0), lambda s, x: s + x["distance"]) / F.size(mine)).alias("m"), g.alias("g"), F.size(mine).alias("n"))
+
+    return F.array_sort(F.transform(F.array_distinct(F.transform(grouped, lambda x: x["group"])), one))
+
+
+def no_angle_outlier(lines: Column, grouped: Column, means: Column, keep: int = KEEP) -> Column:
+    """Rule 4: of three or more groups of angles, without that of the largest mean distance, if it is over OUTLIER times the second."""
+    worst, second = F.get(means, F.lit(0)), F.get(means, F.lit(1))
+    drop = (F.size(lines) > 2) & (F.size(means) >= 3) & (F.size(lines) - worst["n"] >= keep) & (-worst["m"] > OUTLIER * -second["m"])
+    bad = F.transform(F.filter(grouped, lambda x: x["group"] == worst["g"]), lambda x: x["seq"])
+    return F.when(drop, F.filter(lines, lambda x: ~F.array_contains(bad, x["seq"]))).otherwise(lines)
+
+
+def let(value: Column, body) -> Column:
+    """body of a value that is worked out once: in a chain of columns the optimizer would copy it wherever it is used."""
+    return F.get(F.transform(F.array(value), body), F.lit(0))
+
+
+def filtered(lines: Column, keep: int = KEEP) -> Column:
+    """Rules in order, each only while more than `keep` lines are left; at most `keep` lines pass untouched."""
+
+    def while_more(rule, then):
+        return lambda x: let(F.when(F.size(x) > keep, rule(x)).otherwise(x), then)
+
+    def outliers(x):
+        return let(angle_groups(x), lambda g: let(group_means(g), lambda m: no_angle_outlier(x, g, m, keep)))
 
-    means = F.array_sort(F.transform(groups, lambda g: F.struct((-mean(g)).alias("m"), g.alias("g"), F.size(F.filter(grouped, lambda x: x["group"] == g)).alias("n"))))
-    worst, second = means[0], F.get(means, F.lit(1))
-    drop = (F.size(means) >= 3) & (F.size(lines) - worst["n"] >= keep) & (-worst["m"] > OUTLIER * -second["m"])
-    kept = F.transform(F.filter(grouped, lambda x: x["group"] != worst["g"]), lambda x: x["seq"])
-    return F.when((F.size(lines) > 2) & drop, F.filter(lines, lambda x: F.array_contains(kept, x["seq"]))).otherwise(lines)
+    last = lambda x: F.when(F.size(x) <= keep, x).when(all_parallel(x), F.slice(by_distance(x), 1, 2)).otherwise(outliers(x))
+    third = while_more(lambda x: no_parallel_twins(x, keep), last)
+    second = while_more(lambda x: not_into_start_box(x, keep), third)
+    return let(lines, while_more(near_enough, second))
 
 
 def apply_rules(groups: DataFrame, name: str = "lines", keep: int = KEEP) -> DataFrame:
-    """Rules in order, each only while more than `keep` lines are left; groups of at most `keep` lines pass untouched."""
-    c = F.col(name)
-    step = groups.withColumn("_0", c).withColumn("_1", F.when(F.size(c) > keep, near_enough(c)).otherwise(c))
-    for old, new, rule in (("_1", "_2", not_into_start_box), ("_2", "_3", no_parallel_twins)):
-        step = step.withColumn(new, F.when(F.size(old) > keep, rule(F.col(old), keep)).otherwise(F.col(old)))
-    last = F.when(F.size("_3") <= keep, F.col("_3")).when(all_parallel(F.col("_3")), F.slice(by_distance(F.col("_3")), 1, 2)).otherwise(no_angle_outlier(F.col("_3"), keep))
-    return step.withColumn("_4", last).withColumn(name, F.col("_4")).drop("_0", "_1", "_2", "_3", "_4")
+    """The filter rules on a column of groups of lines."""
+    return groups.withColumn(name, filtered(F.col(name), keep))
 
 
 def groups_of_four(lines: DataFrame, by: list[str], order: list[str]) -> DataFrame:

@@ -316,7 +316,7 @@ def merge_layers(spark, sf):
     return patches.merge_layers(X.buildings(spark, sf).select("fid", "xmin"), X.blocks(spark, sf).select("block_id", "xmin")).select("fid", "block_id", "xmin")
 
 
-@query("SELECT b.fid, CAST(i AS BIGINT) AS piece_no, CASE WHEN i = 0 THEN CASE WHEN xmin < m AND m < xmax THEN m - xmin ELSE xmax - xmin END ELSE xmax - m END * (ymax - ymin) AS area FROM (SELECT *, (xmin // 25) * 25 + 10.0::DOUBLE AS m FROM b) b, range(0, 2) t(i) WHERE i = 0 OR (xmin < m AND m < xmax)")
+@query("SELECT b.fid, CAST(i AS BIGINT) AS piece_no, CASE WHEN i = 0 THEN CASE WHEN xmin < m AND m < xmax THEN m - xmin ELSE xmax - xmin END ELSE xmax - m END * (ymax - ymin) AS area FROM (SELECT *, floor(xmin / 25) * 25 + 10 AS m FROM b) b, range(0, 2) t(i) WHERE i = 0 OR (xmin < m AND m < xmax)")
 def split_buildings(spark, sf):
     """Buildings cut by a vertical line 10 m into their cell: the pieces from west to east."""
     from loamgrid.kernel.columns import split_by_lines
@@ -515,26 +515,26 @@ def triangle_longest_side(spark, sf):
     from loamgrid.kernel.columns import triangles
 
     t = X.buildings(spark, sf).select("fid", F.posexplode(triangles("geom")).alias("triangle_no", "g"))
-    side = F.array_max(F.transform(G.segments("g"), lambda s: F.hypot(s["x2"] - s["x1"], s["y2"] - s["y1"])))
+    side = F.array_max(F.transform(G.segments(F.col("g")[0]), lambda s: F.hypot(s["x2"] - s["x1"], s["y2"] - s["y1"])))
     return t.select("fid", "triangle_no", side.alias("longest")).select("fid", "triangle_no", *_r("longest"))
 
 
 # --- validation --------------------------------------------------------------------------------------------------------------
 
 
-@query("SELECT 'buildings' AS layer, count(*) AS n, 50 AS least, CASE WHEN count(*) < 50 THEN 'error' ELSE 'ok' END AS severity FROM b UNION ALL SELECT 'roads', count(*), 30, CASE WHEN count(*) < 30 THEN 'error' ELSE 'ok' END FROM r UNION ALL SELECT 'partitions', count(*), 1, CASE WHEN count(*) < 1 THEN 'error' ELSE 'ok' END FROM p UNION ALL SELECT 'barriers', count(*), 10, CASE WHEN count(*) < 10 THEN 'error' ELSE 'ok' END FROM ax")
+@query("SELECT 'buildings' AS layer, count(*) AS n, CAST(50 AS BIGINT) AS least, CASE WHEN count(*) < 50 THEN 'error' ELSE 'ok' END AS severity FROM b UNION ALL SELECT 'roads', count(*), 30, CASE WHEN count(*) < 30 THEN 'error' ELSE 'ok' END FROM r UNION ALL SELECT 'partitions', count(*), 1, CASE WHEN count(*) < 1 THEN 'error' ELSE 'ok' END FROM p UNION ALL SELECT 'barriers', count(*), 10, CASE WHEN count(*) < 10 THEN 'error' ELSE 'ok' END FROM ax")
 def validate_counts(spark, sf):
     return validation.validate_counts({"buildings": X.buildings(spark, sf), "roads": X.roads(spark, sf), "partitions": X.partitions(spark, sf), "barriers": X.barriers(spark, sf)})
 
 
-@query("SELECT 'buildings' AS layer, c AS \"check\", s AS severity, CASE c WHEN 'code is null' THEN (SELECT count_if(fid % 17 = 0) FROM b) WHEN 'code has a wrong form' THEN (SELECT count_if(fid % 19 = 0 AND fid % 17 <> 0) FROM b) ELSE 0 END AS n FROM (VALUES ('geometry is null', 'error'), ('geometry is empty', 'error'), ('code is null', 'error'), ('code has a wrong form', 'warning'), ('ring isn''t closed', 'warning')) t(c, s)")
+@query("SELECT 'buildings' AS layer, c AS \"check\", s AS severity, (CASE c WHEN 'code is null' THEN (SELECT count_if(fid % 17 = 0) FROM b) WHEN 'code has a wrong form' THEN (SELECT count_if(fid % 19 = 0 AND fid % 17 <> 0) FROM b) ELSE 0 END)::BIGINT AS n FROM (VALUES ('geometry is null', 'error'), ('geometry is empty', 'error'), ('code is null', 'error'), ('code has a wrong form', 'warning'), ('ring isn''t closed', 'warning')) t(c, s)")
 def validate_buildings(spark, sf):
     """Every 17th building without a code, every 19th with one of a wrong form."""
     b = X.buildings(spark, sf).withColumn("fkt", F.when(F.col("fid") % 17 == 0, F.when(F.col("fid") % 2 == 0, "NULL")).when(F.col("fid") % 19 == 0, "x").otherwise(F.col("fkt")))
     return validation.validate_buildings(b)
 
 
-@query("SELECT 'partitions' AS layer, c AS \"check\", s AS severity, CASE c WHEN 'name has a wrong form' THEN (SELECT count_if(pid % 5 = 0) FROM p) ELSE 0 END AS n FROM (VALUES ('geometry is null', 'error'), ('geometry is empty', 'error'), ('name is null', 'error'), ('name has a wrong form', 'error')) t(c, s)")
+@query("SELECT 'partitions' AS layer, c AS \"check\", s AS severity, (CASE c WHEN 'name has a wrong form' THEN (SELECT count_if(pid % 5 = 0) FROM p) ELSE 0 END)::BIGINT AS n FROM (VALUES ('geometry is null', 'error'), ('geometry is empty', 'error'), ('name is null', 'error'), ('name has a wrong form', 'error')) t(c, s)")
 def validate_partitions(spark, sf):
     return validation.validate_partitions(X.partitions(spark, sf).withColumn("part", F.when(F.col("pid") % 5 == 0, "part_x").otherwise(F.col("part"))))
 
