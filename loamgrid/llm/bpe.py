@@ -1,7 +1,7 @@
 """Byte-pair encoding without replaying merges.
 
-An Aho-Corasick automaton lists the vocabulary's matches in a word; the encoder takes the longest match that is compatible with the
-token before it and steps back where none is. Two tokens are compatible if merging their joined text would leave the cut between
+An Aho-Corasick automaton gives the vocabulary's longest match at a place in a word; the encoder takes that, or the longest token that
+begins it, which is compatible with the token before, and steps back where none is. Two tokens are compatible if merging their joined text would leave the cut between
 them, which undoing their merges from the outside in decides; answers are kept in a table. Each position is given up at most once,
 so the time is linear in the word. Decoding gathers slices of one byte buffer by an offset table.
 
@@ -15,6 +15,7 @@ import functools
 import hashlib
 import json
 import unicodedata
+from collections.abc import Callable
 
 import ahocorasick
 import numpy as np
@@ -28,6 +29,7 @@ from loamgrid.llm.common import map_batches, texts
 
 #: Stands for the end of a word inside token texts; no byte-level character is that low.
 END = "\0"
+NONE = (0, -1)
 #: White space by the Unicode property, and the pattern of words.
 SPACE = r"[\t-\r\x20\x85\xa0\u1680\u2000-\u200a\u2028\u2029\u202f\u205f\u3000]"
 WORD = regex.compile(rf"'s|'t|'re|'ve|'m|'ll|'d|\p{{L}}+|\p{{N}}|[^\p{{L}}\p{{N}}{SPACE[1:-1]}]+")
@@ -35,7 +37,7 @@ SPACES = regex.compile(SPACE + "+")
 #: str.split() splits at these too, though they are not white space by the property.
 SEPARATORS = regex.compile("[\x1c-\x1f]")
 #: Distinct chunks and words whose ids a worker remembers.
-REMEMBERED = 800_000
+REMEMBERED = 1_200_000
 
 
 def byte_alphabet() -> list[str]:
@@ -62,6 +64,18 @@ class Slices:
         return self.buffer[np.repeat(begin - ends + size, size) + np.arange(ends[-1])].tobytes()
 
 
+class Remembered(dict):
+    """Results of a function by argument; what is missing is worked out."""
+
+    def __init__(self, work: Callable[[str], bytes]) -> None:
+        super().__init__()
+        self.work = work
+
+    def __missing__(self, key: str) -> bytes:
+        self[key] = value = self.work(key)
+        return value
+
+
 class Encoder:
     def __init__(self, path: str) -> None:
         with open(path, encoding="utf-8") as file:
@@ -73,7 +87,8 @@ class Encoder:
         # Tokens are numbered by rank here: those that no merge makes, then by merge.
         names = base + [a + b for a, b in merges]
         rank = {t: i for i, t in enumerate(names)}
-        self.base, self.to_id = len(base), np.array([model["vocab"][t] for t in names], np.uint32)
+        self.base = len(base)
+        self.raw = [np.uint32(model["vocab"][t]).tobytes() for t in names]  # ids as bytes, by rank
         self.left, self.right, self.pair = [0] * self.base, [0] * self.base, {}
         content = [t.removesuffix(suffix) + END if len(t) > 1 and t.endswith(suffix) else t for t in base]
         for i, (a, b) in enumerate(merges, self.base):
@@ -91,6 +106,9 @@ class Encoder:
             if sound[i]:
                 self.automaton.add_word(c, i)
         self.automaton.make_automaton()
+        found = {content[i]: i for i in range(len(content)) if sound[i]}
+        #: The longest token that begins each token, -1 if there is none.
+        self.shorter = [next((found[c[:k]] for k in range(len(c) - 1, 0, -1) if c[:k] in found), -1) for c in content]
         self.compatible: dict[int, bool] = {}
         self.alphabet = byte_alphabet()
         self.special = {t["content"]: t["id"] for t in spec["added_tokens"]}
@@ -99,7 +117,7 @@ class Encoder:
         top = max(strings) + 1
         self.decoded = Slices([(strings.get(i, "") + " ").encode() for i in range(top)])  # the file names no decoder: tokens are joined by a space
         self.decimal = Slices([b"%d " % i for i in range(top)])
-        self.known: dict[str, bytes] = {}
+        self.known = Remembered(self._chunk)
 
     def _cut(self, a: int, b: int, limit: int) -> bool:
         """Whether merges of rank under `limit` leave a cut between tokens a and b: no pair across it may come before what undoes it."""
@@ -125,51 +143,47 @@ class Encoder:
 
     def ranks(self, word: str) -> list[int]:
         """Tokens (as ranks) of a word in the byte-level alphabet, which ends with END."""
-        n, size, compatible = len(word), self.size, self.compatible
-        starts: list[list[int]] = [[] for _ in range(n + 1)]
-        for end, token in self.automaton.iter(word):
-            starts[end - size[token] + 1].append(token)  # ends ascend, so the longest match comes last
+        n, size, compatible, shorter, longest = len(word), self.size, self.compatible, self.shorter, self.automaton.iter_long
         out: list[int] = []
-        choice: list[int] = []  # index into starts[] of each token of out
         dead: set[int] = set()
-        at, last, here = 0, -1, starts[0]
-        k = len(here) - 1
-        while at < n:
-            while k >= 0:
-                token = here[k]
+        at, last = 0, -1
+        token = next(longest(word))[1]
+        while True:
+            while token >= 0:
                 if not (dead and at + size[token] in dead):
                     if last < 0:
                         break
                     fits = compatible.get(last << 20 | token)
                     if fits or (fits is None and self._fits(last, token)):
                         break
-                k -= 1
-            if k >= 0:
+                token = shorter[token]
+            if token >= 0:
                 out.append(token)
-                choice.append(k)
                 at, last = at + size[token], token
-                here = starts[at]
-                k = len(here) - 1
+                if at == n:
+                    return out
+                token = next(longest(word, at), NONE)[1]  # the longest match from here; the end mark alone has none
             else:  # nothing leads on from here: shorten the token before
                 if not out:
                     raise ValueError(f"no encoding of {word!r}")
                 dead.add(at)
-                at -= size[out.pop()]
-                here, k, last = starts[at], choice.pop() - 1, out[-1] if out else -1
-        return out
+                token = out.pop()
+                at -= size[token]
+                token, last = shorter[token], out[-1] if out else -1
 
     def _word(self, word: str) -> bytes:
         if not (word.isascii() and word.isprintable()):
             word = "".join([self.alphabet[b] for b in word.encode()])  # printable ASCII stands for itself
-        return self.to_id[self.ranks(word + END)].tobytes()
+        raw = self.raw
+        return b"".join([raw[r] for r in self.ranks(word + END)])
 
     def _chunk(self, chunk: str) -> bytes:
         """Ids of what stands between white space. A chunk that is one word and that word have the same ids, so they share a table."""
-        known = self.known
         if not chunk.isalpha():
             words = WORD.findall(chunk)
             if words != [chunk]:
-                return b"".join([known.get(w) or known.setdefault(w, self._word(w)) for w in words])
+                known = self.known
+                return b"".join([known[w] for w in words])
         return self._word(chunk)
 
     def _plain(self, text: str) -> bytes:
@@ -179,15 +193,9 @@ class Encoder:
         text = text.replace("Σ", "σ").lower()  # letter by letter, without the rule for a final sigma
         parts = [x for x in SPACES.split(text) if x] if SEPARATORS.search(text) else text.split()
         known = self.known
-        try:
-            return b"".join([known[x] for x in parts])
-        except KeyError:
-            if len(known) > REMEMBERED:
-                known.clear()
-            for x in parts:
-                if x not in known:
-                    known[x] = self._chunk(x)
-            return b"".join([known[x] for x in parts])
+        if len(known) > REMEMBERED:
+            known.clear()
+        return b"".join([known[x] for x in parts])
 
     def encode(self, text: str | None) -> bytes:
         """Ids of a text as little-endian unsigned 32-bit numbers."""
