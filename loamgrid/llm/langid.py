@@ -21,10 +21,10 @@ from pyspark.sql import types as T
 from loamgrid.llm.common import fold, map_batches, pieces, texts
 
 #: The fit takes at most so many labelled documents, the first by a hash of their ids, and none of more characters than FIT_CHARS.
-FIT_DOCS, FIT_CHARS = 2000, 65_536
+FIT_DOCS, FIT_CHARS = 1200, 65_536
 BITS = 16  # rows of a weight table: 2^BITS for trigrams, as many for affixes, as many for words
 BLOCK = 64  # words
-CHARS_AT_ONCE = 1 << 20
+CHARS_AT_ONCE, WORDS_AT_ONCE = 1 << 20, 1 << 17
 UNDETERMINED = "und"
 
 
@@ -86,16 +86,37 @@ class Words:
         start = np.r_[0, ends[:-1]][doc] if len(some) else begin
         return cls(doc, begin - start, last + 1 - start, gram, first, rest, len(some))
 
+    @classmethod
+    def of_many(cls, some: list[str]) -> Words:
+        """As of(), piece by piece, so that only the rows of features are held for all texts."""
+        parts = [(a, cls.of(some[a:b])) for a, b in pieces([len(t) for t in some], CHARS_AT_ONCE)]
+        if not parts:
+            return cls.of([])
+        shift = np.cumsum([0, *(len(w.gram) for _, w in parts[:-1])])
+        join = lambda name: np.concatenate([getattr(w, name) for _, w in parts])
+        doc = np.concatenate([w.doc + a for a, w in parts])
+        return cls(doc, join("begin"), join("end"), join("gram"), np.concatenate([w.first + n for (_, w), n in zip(parts, shift, strict=True)]), join("rest"), len(some))
+
+    def runs(self) -> list[tuple[slice, slice]]:
+        """Words and their trigrams, in runs of at most WORDS_AT_ONCE words."""
+        ends = np.r_[self.first, len(self.gram)]
+        n = len(self.first)
+        return [(slice(a, b := min(n, a + WORDS_AT_ONCE)), slice(int(ends[a]), int(ends[b]))) for a in range(0, n, WORDS_AT_ONCE)]
+
     def emissions(self, weight: np.ndarray) -> np.ndarray:
-        if not len(self.first):
-            return np.zeros((0, weight.shape[1]), np.float32)
-        return np.add.reduceat(weight[self.gram], self.first, axis=0) + weight[self.rest].sum(1)
+        out = np.zeros((len(self.first), weight.shape[1]), weight.dtype)
+        for w, g in self.runs():
+            out[w] = np.add.reduceat(weight[self.gram[g]], self.first[w] - g.start, axis=0) + weight[self.rest[w]].sum(1)
+        return out
 
     def gradient(self, g: np.ndarray, rows: int) -> np.ndarray:
         """Sum over words of g for each row of the weight table."""
         size = np.diff(np.r_[self.first, len(self.gram)])
-        row = np.concatenate([self.gram, self.rest.ravel()])
-        return np.stack([np.bincount(row, np.concatenate([np.repeat(g[:, k], size), np.repeat(g[:, k], 4)]), rows) for k in range(g.shape[1])], 1)
+        out = np.zeros((rows, g.shape[1]))
+        for w, t in self.runs():
+            for k in range(g.shape[1]):
+                out[:, k] += np.bincount(self.gram[t], np.repeat(g[w, k], size[w]), rows) + np.bincount(self.rest[w].ravel(), np.repeat(g[w, k], 4), rows)
+        return out
 
 
 def forward_backward(emission: np.ndarray, doc: np.ndarray, step: np.ndarray) -> tuple[np.ndarray, np.ndarray]:
@@ -190,7 +211,7 @@ def train(some: list[str], langs: list[str], rounds: int = 25, chain_rounds: int
     k, rows = len(names), 3 << BITS
     if not k:
         return Model([], np.zeros((rows, 0), np.float32), np.zeros((0, 0)))
-    words = Words.of(some)
+    words = Words.of_many(some)
     label = np.array([names.index(x) for x in langs])[words.doc] if len(words.doc) else np.zeros(0, np.int64)
     weight, seen = np.zeros((rows, k)), np.full((rows, k), 1e-3)
 
