@@ -3,10 +3,11 @@
 from __future__ import annotations
 
 import numpy as np
-import pandas as pd
+import pyarrow as pa
 from pyspark.sql import functions as F
 
 from pyspark.sql import types as T
+from pyspark.sql.pandas.types import to_arrow_type
 
 from loamgrid.kernel import planar
 
@@ -40,42 +41,45 @@ def _ordered(polygons: list[planar.Polygon]) -> list[planar.Polygon]:
     return sorted(polygons, key=lambda p: (*p[0].min(0), *p[0].max(0)))
 
 
-@F.pandas_udf(MULTIPOLYGON)
-def split_by_lines(geom: pd.Series, cuts: pd.Series) -> pd.Series:
+def _array(values: list, kind: T.DataType) -> pa.Array:
+    return pa.array(values, to_arrow_type(kind))
+
+
+@F.arrow_udf(MULTIPOLYGON)
+def split_by_lines(geom: pa.Array, cuts: pa.Array) -> pa.Array:
     """Pieces of polygons between lines; without a cut the polygon itself; null gives no piece."""
-    return pd.Series([[from_polygon(p) for p in _ordered(planar.split(to_polygon(g), to_lines(c)))] if g is not None else [] for g, c in zip(geom, cuts, strict=True)])
+    return _array([[from_polygon(p) for p in _ordered(planar.split(to_polygon(g), to_lines(c)))] if g is not None else [] for g, c in zip(geom.to_pylist(), cuts.to_pylist(), strict=True)], MULTIPOLYGON)
 
 
-@F.pandas_udf(MULTIPOLYGON)
-def triangles(geom: pd.Series) -> pd.Series:
+@F.arrow_udf(MULTIPOLYGON)
+def triangles(geom: pa.Array) -> pa.Array:
     """Triangles of polygons by ear clipping, each as a polygon."""
-    return pd.Series([[[from_ring(t)] for t in planar.triangulate(to_polygon(g))] for g in geom])
+    return _array([[[from_ring(t)] for t in planar.triangulate(to_polygon(g))] for g in geom.to_pylist()], MULTIPOLYGON)
 
 
-@F.pandas_udf(MULTIPOLYGON)
-def make_valid(geom: pd.Series) -> pd.Series:
-    return pd.Series([[from_polygon(p) for p in planar.make_valid(to_polygon(g))] for g in geom])
+@F.arrow_udf(MULTIPOLYGON)
+def make_valid(geom: pa.Array) -> pa.Array:
+    return _array([[from_polygon(p) for p in planar.make_valid(to_polygon(g))] for g in geom.to_pylist()], MULTIPOLYGON)
 
 
-@F.pandas_udf(T.BooleanType())
-def is_valid(geom: pd.Series) -> pd.Series:
-    return pd.Series([planar.is_valid(to_polygon(g)) for g in geom], dtype=bool)
+@F.arrow_udf(T.BooleanType())
+def is_valid(geom: pa.Array) -> pa.Array:
+    return pa.array([planar.is_valid(to_polygon(g)) for g in geom.to_pylist()], pa.bool_())
 
 
-@F.pandas_udf(T.BooleanType())
-def intersects(a: pd.Series, b: pd.Series) -> pd.Series:
+@F.arrow_udf(T.BooleanType())
+def intersects(a: pa.Array, b: pa.Array) -> pa.Array:
     """Whether two polygons share a point: an exact test for pairs that a grid join has found."""
-    return pd.Series([bool(len(planar.meet([to_polygon(x)], [to_polygon(y)]))) for x, y in zip(a, b, strict=True)], dtype=bool)
+    return pa.array([bool(len(planar.meet([to_polygon(x)], [to_polygon(y)]))) for x, y in zip(a.to_pylist(), b.to_pylist(), strict=True)], pa.bool_())
 
 
-@F.pandas_udf(POLYGON)
-def min_rectangle(geom: pd.Series) -> pd.Series:
-    """Oriented rectangle of least area around each polygon."""
-    return pd.Series([[from_ring(planar.min_area_rectangle(to_polygon(g)[0]))] if g is not None and len(g) else None for g in geom])
+@F.arrow_udf(POLYGON)
+def min_rectangle(geom: pa.Array) -> pa.Array:
+    """Oriented rectangle of least area around each polygon; null for null."""
+    return _array([[from_ring(planar.min_area_rectangle(to_polygon(g)[0]))] if g else None for g in geom.to_pylist()], POLYGON)
 
 
-@F.pandas_udf(POINT)
-def point_on_surface(geom: pd.Series) -> pd.DataFrame:
-    """A point inside each polygon."""
-    found = [planar.inner_point(to_polygon(g)) if g is not None and len(g) else (None, None) for g in geom]
-    return pd.DataFrame({"x": [p[0] for p in found], "y": [p[1] for p in found]})
+@F.arrow_udf(POINT)
+def point_on_surface(geom: pa.Array) -> pa.Array:
+    """A point inside each polygon; null for null."""
+    return _array([dict(zip("xy", map(float, planar.inner_point(to_polygon(g))), strict=True)) if g else None for g in geom.to_pylist()], POINT)

@@ -49,15 +49,9 @@ def inner_blocks(roads: np.ndarray, buildings: list[Polygon], distance: float =
     faces = polygonize(roads)
     if not faces or not buildings:
         return faces
-    # Only the outline near roads matters, and buildings deep inside add nothing to it, so all are united once.
-    outline = segments(buffer(buildings, distance))
+    outline = planar.convex_outline([g[0] for g in buffer(buildings, distance, dissolve=False)]) if all(map(planar.is_convex, buildings)) else segments(buffer(buildings, distance))
     hit = np.unique(meet(faces, [outline])[:, 0]) if len(outline) else []
-    border = np.zeros(len(faces), bool)
-    border[hit] = True
-    if len(outline):  # a face that holds the outline whole or is crossed by it has been hit; one around it too
-        inside = planar.meet(faces, [s[None] for s in outline[:1]])
-        border[inside[:, 0]] = True
-    return [f for f, b in zip(faces, border, strict=True) if not b]
+    return [f for i, f in enumerate(faces) if i not in set(hit)]
 
 
 # --- edge catch --------------------------------------------------------------------------------------------------------------

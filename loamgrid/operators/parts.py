@@ -10,15 +10,17 @@ from collections.abc import Callable, Iterable
 from functools import reduce
 
 import numpy as np
-import pandas as pd
+import pyarrow as pa
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
+from pyspark.sql.pandas.types import to_arrow_type
 
 from loamgrid.kernel import graph, planar, stages
-from loamgrid.kernel.columns import from_polygon, to_polygon
+from loamgrid.kernel.columns import POLYGON, from_polygon, to_polygon
 
 TAGGED = "pid long, layer string, fid long, value double, text string, geom array<array<struct<x:double,y:double>>>"
 OUT = "pid long, layer string, fid long, value double, geom array<array<struct<x:double,y:double>>>"
+ARROW = (pa.int64(), pa.string(), pa.int64(), pa.float64(), to_arrow_type(POLYGON))
 Layers = dict[str, list[tuple[int, float, planar.Polygon]]]
 Rows = Iterable[tuple[str, int, float | None, planar.Polygon]]
 
@@ -46,18 +48,19 @@ def run(layers: list[DataFrame], stage: Callable[[Layers], Rows]) -> DataFrame:
     """pid, layer, fid, value, geom: what the stage gives for each partition. Rows without a geometry are left out."""
     safe = robust(stage)
 
-    def work(key: tuple, frame: pd.DataFrame) -> pd.DataFrame:
+    def work(key: tuple, table: pa.Table) -> pa.Table:
         mine: Layers = {}
-        for layer, fid, value, geom in zip(frame["layer"], frame["fid"], frame["value"], frame["geom"], strict=True):
+        for layer, fid, value, geom in zip(*(table.column(c).to_pylist() for c in ("layer", "fid", "value", "geom")), strict=True):
             polygon = [r for r in to_polygon(geom) if len(r) > 1]
             if polygon:
-                mine.setdefault(layer, []).append((int(fid), value, polygon))
+                mine.setdefault(layer, []).append((fid, value, polygon))
         for rows in mine.values():
             rows.sort(key=lambda r: r[0])  # the order of groups' rows is not fixed
-        out = [(key[0], layer, fid, value, from_polygon(p)) for layer, fid, value, p in safe(mine)]
-        return pd.DataFrame(out, columns=["pid", "layer", "fid", "value", "geom"])
+        pid = key[0].as_py()
+        out = [(pid, layer, int(fid), None if value is None else float(value), from_polygon(p)) for layer, fid, value, p in safe(mine)]
+        return pa.Table.from_arrays([pa.array(list(c), t) for c, t in zip(zip(*out, strict=True) if out else [[]] * 5, ARROW, strict=True)], names=["pid", "layer", "fid", "value", "geom"])
 
-    return reduce(DataFrame.union, layers).groupBy("pid").applyInPandas(work, OUT)
+    return reduce(DataFrame.union, layers).groupBy("pid").applyInArrow(work, OUT)
 
 
 def polygons(layers: Layers, name: str) -> list[planar.Polygon]:
