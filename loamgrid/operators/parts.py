@@ -60,7 +60,9 @@ def run(layers: list[DataFrame], stage: Callable[[Layers], Rows]) -> DataFrame:
         out = [(pid, layer, int(fid), None if value is None else float(value), from_polygon(p)) for layer, fid, value, p in safe(mine)]
         return pa.Table.from_arrays([pa.array(list(c), t) for c, t in zip(zip(*out, strict=True) if out else [[]] * 5, ARROW, strict=True)], names=["pid", "layer", "fid", "value", "geom"])
 
-    return reduce(DataFrame.union, layers).groupBy("pid").applyInArrow(work, OUT)
+    sent = reduce(DataFrame.union, layers)
+    n = 4 * int(sent.sparkSession.conf.get("spark.sql.shuffle.partitions"))  # few partitions a task, so that tasks are alike
+    return sent.repartition(n, "pid").groupBy("pid").applyInArrow(work, OUT)  # small in bytes, long in time: not to be coalesced
 
 
 def polygons(layers: Layers, name: str) -> list[planar.Polygon]:

@@ -9,6 +9,7 @@ from loamgrid.kernel.columns import intersects
 from loamgrid.operators import density, lines, parts, patches
 from loamgrid.operators.spatial import pairs
 from loamgrid.operators.validation import Params
+from loamgrid.runtime import cut_lineage
 
 LEAST_BUILDINGS = 10
 
@@ -48,16 +49,16 @@ def delineate(layers: dict[str, DataFrame], codes: DataFrame, params: Params | N
     partitions = layers["partitions"] if finished is None else layers["partitions"].join(finished.select("pid").distinct(), "pid", "left_anti")
     buildings = assign(layers["buildings"], partitions)
     enough = buildings.groupBy("pid").agg(F.count("*").alias("_n")).where(F.col("_n") >= LEAST_BUILDINGS).select("pid")
-    buildings = buildings.join(enough, "pid", "left_semi")
+    buildings = cut_lineage(buildings.join(enough, "pid", "left_semi"))
     roads, barriers = (assign(layers[x], partitions).join(enough, "pid", "left_semi") for x in ("roads", "barriers"))
-    kept = patches.residential_filter(buildings, codes, params.min_area)
+    kept = cut_lineage(patches.residential_filter(buildings, codes, params.min_area))
     streets = lines.without_dead_ends(roads)
     stage = parts.settlement(params.global_footprint_density or params.min_overlap_blocks, params.min_overlap_blocks, params.max_hole_size, params.max_gap_size)
     sent = [parts.tag(partitions.join(enough, "pid", "left_semi"), "part", "pid"), parts.tag(kept, "buildings"), parts.tag(roads, "roads", line=True), parts.tag(barriers, "barriers", line=True), parts.tag(streets, "streets", line=True)]
     found = parts.run(sent, stage).select("pid", F.col("fid").alias("patch_id"), F.col("value").alias("area"), "geom")
-    found = with_box(found)
+    found = with_box(cut_lineage(found))  # it is read several times from here on
     exact = lambda: intersects("l_geom", "r_geom")
-    return patches.patch_remove(found, kept.select("pid", "fid", "geom", "xmin", "ymin", "xmax", "ymax", F.col("geom").alias("_g")).drop("_g"), "patch_id", params.min_patch_size, params.min_bdg_count, on=("pid",), refine=exact)
+    return patches.patch_remove(found, kept.select("pid", "fid", "geom", "xmin", "ymin", "xmax", "ymax"), "patch_id", params.min_patch_size, params.min_bdg_count, on=("pid",), refine=exact)
 
 
 def with_box(df: DataFrame) -> DataFrame:
