@@ -11,6 +11,7 @@ from loamgrid.operators.components import connected_components
 from loamgrid.operators.density import area, building_counts, dense_blocks, kernel_density, zone_buildings
 from loamgrid.operators.filters import like_any
 from loamgrid.operators.spatial import anti, pairs, semi
+from loamgrid.runtime import cut_lineage
 
 
 def merge_layers(*layers: DataFrame) -> DataFrame:
@@ -46,7 +47,7 @@ def residential_filter(buildings: DataFrame, codes: DataFrame, min_area: float =
     some = positive.select(*on).distinct().withColumn("_pos", F.lit(True))
     tagged = buildings.join(total, [*on]).join(some, [*on], "left")
     full = F.coalesce(F.col("_pos"), F.lit(False)) & (F.col("_n") > min_area)
-    tagged = tagged.withColumn("_full", full).drop("_n", "_pos")
+    tagged = cut_lineage(tagged.withColumn("_full", full).drop("_n", "_pos"))  # read several times from here on
     work, whole = tagged.where("_full").drop("_full"), tagged.where("NOT _full").drop("_full")
     centres = positive.select(*on, ((F.col("xmin") + F.col("xmax")) / 2).alias("x"), ((F.col("ymin") + F.col("ymax")) / 2).alias("y"))
     zone = zone_buildings(work, kernel_density(centres, cell, radius, on), cell=cell, on=on)

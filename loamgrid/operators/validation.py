@@ -30,11 +30,11 @@ def validate_buildings(buildings: DataFrame) -> DataFrame:
     """Null codes (also the text NULL) and codes of a wrong form; 0 stands for no code and is right."""
     code = F.col(code_field(buildings))
     none = code.isNull() | (F.trim(code) == "") | (F.upper(code) == "NULL")
-    ring = F.col("geom")[0]
+    ring = F.get("geom", F.lit(0))
     return checks(
         buildings,
         "buildings",
-        [*geometry_tests(), ("code is null", "error", none), ("code has a wrong form", "warning", ~none & (code != "0") & ~code.rlike(CODE_PATTERN)), ("ring isn't closed", "warning", (F.size(ring) < 4) | (ring[0] != F.element_at(ring, -1)))],
+        [*geometry_tests(), ("code is null", "error", none), ("code has a wrong form", "warning", ~none & (code != "0") & ~code.rlike(CODE_PATTERN)), ("ring isn't closed", "warning", (F.size(ring) < 4) | (F.get(ring, F.lit(0)) != F.get(ring, F.size(ring) - 1)))],
     )
 
 
