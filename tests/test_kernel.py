@@ -93,6 +93,27 @@ def test_buffers():
     assert total(planar.buffer_lines(np.array([[0, 0, 10, 0.0]]), 1)) == pytest.approx(20 + disc, abs=1e-3)
 
 
+def test_union_by_neighbourhoods_is_that_of_all_at_once():
+    rng = np.random.default_rng(9)
+    for grid in (1e-5, 1e-3):
+        path = np.cumsum(rng.normal(size=(151, 2)) * 15, 0)
+        strips = [[planar.capsule(np.r_[a, b], 8.0)] for a, b in zip(path, path[1:])]
+        got, whole = planar.union(strips, grid=grid), planar.overlay(strips, [], lambda a, b: a, grid)
+        assert total(got) == pytest.approx(total(whole), rel=1e-4) and len(got) == len(whole)
+        points = path.min(0) - 20 + rng.random((4000, 2)) * (np.ptp(path, 0) + 40)
+        assert (planar.inside_any(got, points) != planar.inside_any(strips, points)).sum() <= 2
+
+
+def test_outline_of_convex_shapes():
+    """Every piece lies on a border and inside no shape, and together they are as long as the union's boundary."""
+    rng = np.random.default_rng(8)
+    shapes = [planar.capsule(rng.random(4) * 60, 6.0) for _ in range(12)]
+    out = planar.convex_outline(shapes)
+    boundary = planar.segments(planar.union([[s] for s in shapes]))
+    length = lambda s: np.hypot(s[:, 2] - s[:, 0], s[:, 3] - s[:, 1]).sum()
+    assert length(out) == pytest.approx(length(boundary), rel=1e-4)
+
+
 def test_validity():
     bow = [np.array([(0, 0), (10, 10), (10, 0), (0, 10), (0, 0)], float)]
     assert planar.is_valid(sq(0, 0, 1)) and planar.is_valid(hole(sq(0, 0, 10), sq(2, 2, 3))) and not planar.is_valid(bow)
