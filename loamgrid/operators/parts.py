@@ -200,3 +200,8 @@ def gaps_closed(layers: Layers) -> Rows:
 
 def dissolved(layers: Layers) -> Rows:
     return numbered("settlement", planar.union(polygons(layers, "settlement")))
+
+
+def holes_closed(most: float) -> Callable[[Layers], Rows]:
+    """The settlement's union without holes of up to `most`."""
+    return lambda layers: numbered("settlement", stages.close_holes(polygons(layers, "settlement"), most))

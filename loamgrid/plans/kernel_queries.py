@@ -162,6 +162,16 @@ def dissolve_blocks(spark, sf):
     return out.groupBy("pid").agg(F.round(F.sum("value"), 2).alias("area"))
 
 
+@query("SELECT pid, CAST(sum(40000 - CASE WHEN 5 * (block_id % 30 + 1) > 77 THEN 5 * (block_id % 30 + 1) ELSE 0 END) AS DOUBLE) AS area FROM bl GROUP BY pid")
+def hole_close(spark, sf):
+    """Union of all blocks, each with a hole of 5 to 150 m2, without holes of up to 77 m2: its area."""
+    w = (F.col("block_id") % 30 + 1).cast("double")
+    hole = F.array(*(G.point(F.col("xmin") + 10 + dx, F.col("ymin") + 10 + dy) for dx, dy in ((0, 0), (0, 5), (w, 5), (w, 0), (0, 0))))
+    b = X.blocks(spark, sf).select("block_id", "pid", F.concat("geom", F.array(hole)).alias("geom"))
+    out = parts.run([parts.tag(b, "settlement", "block_id")], parts.holes_closed(77.0))
+    return out.groupBy("pid").agg(F.round(F.sum("value"), 1).alias("area"))
+
+
 @query()
 def erode_empty_areas(spark, sf):
     """Dense blocks without voids that hang on the rest by a narrow contact."""

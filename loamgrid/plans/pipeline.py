@@ -9,7 +9,7 @@ from loamgrid.kernel.columns import intersects
 from loamgrid.operators import density, lines, parts, patches
 from loamgrid.operators.spatial import pairs
 from loamgrid.operators.validation import Params
-from loamgrid.runtime import cut_lineage
+from loamgrid.runtime import cut_lineage, snapshot
 
 LEAST_BUILDINGS = 10
 
@@ -36,11 +36,12 @@ def global_density(buildings: DataFrame, roads: DataFrame, threshold: float = 18
     return out.select("n_blocks", F.when(F.col("n_blocks") > 5, F.col("_m")).otherwise(threshold).alias("density"))
 
 
-def delineate(layers: dict[str, DataFrame], codes: DataFrame, params: Params | None = None, finished: DataFrame | None = None) -> DataFrame:
+def delineate(layers: dict[str, DataFrame], codes: DataFrame, params: Params | None = None, finished: DataFrame | None = None, debug: str | None = None) -> DataFrame:
     """pid, patch_id, area, join_count, kept_as, geom: the patches of all partitions.
 
     layers: partitions, buildings, roads, barriers. finished: (pid) of partitions that are done and are left out. Partitions with
-    fewer than ten buildings give nothing. A patch that is large and dense comes twice, as in the original method.
+    fewer than ten buildings give nothing. A patch that is large and dense comes twice, as in the original method. debug: a folder for
+    snapshots of the steps, which change no result.
     """
     params = params or Params()
     wrong = [m for s, m in params.validate() if s == "error"]
@@ -52,11 +53,12 @@ def delineate(layers: dict[str, DataFrame], codes: DataFrame, params: Params | N
     buildings = cut_lineage(buildings.join(enough, "pid", "left_semi"))
     roads, barriers = (assign(layers[x], partitions).join(enough, "pid", "left_semi") for x in ("roads", "barriers"))
     kept = cut_lineage(patches.residential_filter(buildings, codes, params.min_area))
-    streets = lines.without_dead_ends(roads)
+    snapshot(kept, debug, 1, "filtered_buildings")
+    streets = snapshot(lines.without_dead_ends(roads), debug, 2, "streets")
     stage = parts.settlement(params.global_footprint_density or params.min_overlap_blocks, params.min_overlap_blocks, params.max_hole_size, params.max_gap_size)
     sent = [parts.tag(partitions.join(enough, "pid", "left_semi"), "part", "pid"), parts.tag(kept, "buildings"), parts.tag(roads, "roads", line=True), parts.tag(barriers, "barriers", line=True), parts.tag(streets, "streets", line=True)]
     found = parts.run(sent, stage).select("pid", F.col("fid").alias("patch_id"), F.col("value").alias("area"), "geom")
-    found = with_box(cut_lineage(found))  # it is read several times from here on
+    found = snapshot(with_box(cut_lineage(found)), debug, 3, "settlement")  # it is read several times from here on
     exact = lambda: intersects("l_geom", "r_geom")
     return patches.patch_remove(found, kept.select("pid", "fid", "geom", "xmin", "ymin", "xmax", "ymax"), "patch_id", params.min_patch_size, params.min_bdg_count, on=("pid",), refine=exact)
 

@@ -46,6 +46,13 @@ def cut_lineage(df: DataFrame) -> DataFrame:
     return df.checkpoint(eager=True)
 
 
+def snapshot(df: DataFrame, folder: str | None, number: int, step: str) -> DataFrame:
+    """df itself; where a folder is given, its rows are first written to NNN_step in it, for looking at a run step by step."""
+    if folder:
+        df.write.mode("overwrite").parquet(f"{folder}/{number:03d}_{step}")
+    return df
+
+
 def require_columns(df: DataFrame, *names: str) -> DataFrame:
     missing = [n for n in names if n.lower() not in {c.lower() for c in df.columns}]
     if missing:

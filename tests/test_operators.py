@@ -178,6 +178,8 @@ def test_delineation_and_resuming(spark, sf, tmp_path):
     assert pipeline.run_resumable(spark, layers, codes, str(tmp_path / "out"), params).count() == both.count()
     with pytest.raises(ValueError):
         pipeline.delineate(layers, codes, Params(min_area=1))
+    seen = pipeline.delineate(layers, codes, params, debug=str(tmp_path / "steps"))
+    assert seen.count() == both.count() and spark.read.parquet(str(tmp_path / "steps" / "003_settlement")).count() > 0
 
 
 def test_runs_without_the_text_operators(tmp_path):
