@@ -1,13 +1,14 @@
 """Scoring texts with an n-gram model kept as an Elias-Fano trie.
 
-Level 1 has every word of the training texts: its 64-bit hashes as an Elias-Fano sequence, with exact counts. Levels 2 and 3 hold
-n-grams of words that make up at least `share` of the training tokens and that occur at least `least` times: per context a monotone
+Level 1 has every word of the training texts: its 64-bit hashes as an Elias-Fano sequence, with exact counts; a word's number is its
+place there. Levels 2 and 3 hold all n-grams that occur at least `least` times (with a `share`, only those of words that make up at
+least this share of the training tokens): per context a monotone
 pointer (Elias-Fano) to its children, the children's word numbers packed in as many bits as they need, and smoothed probabilities and
 back-off weights quantised to 16 bits. A query finds a word among its context's children by successor search.
 
 Counting is distributed; each level is cut at contexts into segments that tasks write to the cluster's shared folder and that workers
-map into memory, so the model is neither collected nor broadcast and grows with the corpus. Only the list of segments and the frequent
-words (at most 1 / share) go through the driver.
+map into memory, so the model is neither collected nor broadcast and grows with the corpus. Only the list of segments goes through
+the driver.
 
 Smoothing is interpolated absolute discounting over the add-one unigram model of the base score, so that the probabilities of all words
 after a context sum to one (but for the rounding of 16 bits):
@@ -39,7 +40,7 @@ from loamgrid.runtime import cut_lineage, scratch
 
 #: The end of a text; no word holds a line feed.
 END = b"\n"
-ORDER, SHARE, LEAST, DISCOUNT = 3, 2e-5, 2, 0.75
+ORDER, SHARE, LEAST, DISCOUNT = 3, 0.0, 2, 0.75
 #: Quantisation: log10 from LOWEST to 0 in 2^16 - 1 steps.
 LOWEST = -16.0
 REMEMBERED, CHARS_AT_ONCE = 600_000, 1 << 21
@@ -163,14 +164,15 @@ class Level:
             for i in np.unique(of[of >= 0]):
                 yield self.segments[i], np.flatnonzero(of == i)
 
-    def counts(self, codes: np.ndarray) -> np.ndarray:
-        """Level 1: exact counts of hashes, 0 where absent."""
-        out = np.zeros(len(codes), np.int64)
+    def words(self, codes: np.ndarray) -> tuple[np.ndarray, np.ndarray]:
+        """Level 1: numbers of words by their hashes, -1 where absent, and exact counts."""
+        number, count = np.full(len(codes), -1, np.int64), np.zeros(len(codes), np.int64)
         for s, at in self.split(codes):
             found = s.sequence("hash", s.n).find(codes[at])
             hit = found >= 0
-            out[at[hit]] = s.array("count")[found[hit]]
-        return out
+            number[at[hit]] = found[hit] + s.base
+            count[at[hit]] = s.array("count")[found[hit]]
+        return number, count
 
     def find(self, context: np.ndarray, word: np.ndarray) -> np.ndarray:
         """Numbers of n-grams, -1 where absent: in the range that the context's pointers give."""
@@ -209,51 +211,42 @@ class Model:
     total: int  # training tokens
     distinct: int
     docs: int
-    vocabulary: np.ndarray  # hashes of the frequent words, ascending; a word's number is its place; one more number begins texts
-    counts: np.ndarray  # of the frequent words
+    floor: float  # words of fewer occurrences are in no n-gram and go without a number
     levels: list[Level]  # levels[0] has level 1
-    frequent: dict[bytes, int] = field(default_factory=dict)  # numbers of frequent words that have come up
-    known: dict[bytes, int] = field(default_factory=dict)  # counts of other words that have come up
+    known: dict[bytes, int] = field(default_factory=dict)  # places in `met` of words that have come up
+    met: np.ndarray = field(default_factory=lambda: np.zeros((0, 2), np.int64))  # numbers and counts
 
     def __getstate__(self) -> dict:
-        return self.__dict__ | {"frequent": {}, "known": {}}
+        return self.__dict__ | {"known": {}, "met": np.zeros((0, 2), np.int64)}
 
     @property
     def begin(self) -> int:
-        return len(self.vocabulary)
+        """The number that begins texts, one more than those of words."""
+        return self.distinct
 
     def base_log(self, counts: np.ndarray) -> np.ndarray:
         return np.log10((counts + 1) / (self.total + self.distinct + 1))
 
     def _look_up(self, new: list[bytes]) -> None:
         """Remembers words that haven't come up."""
-        if len(self.known) > REMEMBERED:
-            self.known.clear()
         codes = np.fromiter(map(code, new), U, len(new))
-        place = np.searchsorted(self.vocabulary, codes)
-        often = place < len(self.vocabulary)
-        often[often] = self.vocabulary[place[often]] == codes[often]
-        self.frequent.update((new[i], int(place[i])) for i in np.flatnonzero(often).tolist())
-        rest = np.flatnonzero(~often)
-        rest = rest[np.argsort(codes[rest])]
-        counts = self.levels[0].counts(codes[rest]) if self.levels else np.zeros(len(rest), np.int64)
-        self.known.update(zip([new[i] for i in rest.tolist()], counts.tolist(), strict=True))
+        order = np.argsort(codes)
+        number, count = self.levels[0].words(codes[order]) if self.levels else (np.full(len(new), -1, np.int64), np.zeros(len(new), np.int64))
+        number[count < self.floor] = -1
+        self.known.update(zip([new[i] for i in order.tolist()], range(len(self.met), len(self.met) + len(new)), strict=True))
+        self.met = np.concatenate([self.met, np.stack([number, count], axis=1)])
 
     def words(self, some: list[bytes]) -> tuple[np.ndarray, np.ndarray]:
-        """Number in the vocabulary (-1: not frequent) and count of each word."""
-        number = np.fromiter(map(self.frequent.get, some, repeat(-1)), np.int64, len(some))
-        rest = np.flatnonzero(number < 0)
-        others = [some[i] for i in rest.tolist()]
-        counts = np.r_[self.counts, 0][number]
-        try:
-            counts[rest] = np.fromiter(map(self.known.__getitem__, others), np.int64, len(rest))
-        except KeyError:
-            self._look_up(list(set(others) - self.known.keys() - self.frequent.keys()) if len(self.known) <= REMEMBERED else list(set(others) - self.frequent.keys()))
-            number[rest] = np.fromiter(map(self.frequent.get, others, repeat(-1)), np.int64, len(rest))
-            counts[rest] = np.r_[self.counts, 0][number[rest]]
-            still = rest[number[rest] < 0]
-            counts[still] = np.fromiter((self.known[some[i]] for i in still.tolist()), np.int64, len(still))
-        return number, counts
+        """Number (-1: in no n-gram) and count of each word."""
+        place = np.fromiter(map(self.known.get, some, repeat(-1)), np.int64, len(some))
+        new = np.flatnonzero(place < 0)
+        if len(new):
+            if len(self.known) > REMEMBERED:
+                self.known, self.met, new = {}, self.met[:0], np.arange(len(some))
+            others = [some[i] for i in new.tolist()]
+            self._look_up(list(set(others)))
+            place[new] = np.fromiter(map(self.known.__getitem__, others), np.int64, len(new))
+        return self.met[place, 0], self.met[place, 1]
 
     def read(self, some: list[str]) -> tuple[np.ndarray, np.ndarray, np.ndarray]:
         """Of all texts' tokens in a row: number, count, and where each text begins."""
@@ -275,14 +268,12 @@ class Model:
 
     @property
     def kind(self) -> type:
-        """Type of kept numbers; -1 is its largest value if it is unsigned."""
-        return np.uint16 if self.begin < 65_535 else np.int32
+        """Type of kept numbers."""
+        return np.int32 if self.begin < 1 << 31 else np.int64
 
     def decode(self, codes: list[bytes]) -> tuple[np.ndarray, np.ndarray]:
         """All texts' numbers in a row, and where each begins."""
         number = np.frombuffer(b"".join(codes), self.kind).astype(np.int64)
-        if self.kind is np.uint16:
-            number[number == 65_535] = -1
         return number, np.r_[0, np.cumsum([len(c) // np.dtype(self.kind).itemsize for c in codes])[:-1]].astype(np.int64)
 
     def contexts(self, number: np.ndarray, begins: np.ndarray, order: int) -> tuple[np.ndarray, np.ndarray]:
@@ -306,7 +297,8 @@ class Model:
         number, begins = self.decode(codes)
         if not len(begins):
             return np.zeros(0)
-        own = self.base_log(np.r_[self.counts, 0])
+        own, some = np.zeros(len(number)), np.flatnonzero(number >= 0)
+        own[some] = self.base_log(self.levels[0].take("count", number[some])) if len(some) else 0
         change = np.zeros(len(number))
         before = np.r_[-1, number[:-1]]
         before[begins] = self.begin
@@ -318,7 +310,7 @@ class Model:
             hit = np.flatnonzero(found >= 0)
             miss = ok[found[ok] < 0]
             change[miss] += level.weights(before[miss])
-            change[hit] = restore(level.take("log", found[hit])) - own[number[hit]]
+            change[hit] = restore(level.take("log", found[hit])) - own[hit]
             before = np.r_[-1, found[:-1]]
             before[begins] = -1
         return base + np.add.reduceat(change, begins)
@@ -378,19 +370,17 @@ def train(docs: DataFrame, order: int = ORDER, share: float = SHARE, least: int
 
 
 def train_words(docs: DataFrame, share: float = SHARE, least: int = LEAST) -> tuple[Model, str]:
-    """Level 1 and the frequent words, and the folder for the other levels."""
+    """The model with level 1, and the folder for the other levels."""
     spark: SparkSession = docs.sparkSession
     folder = scratch(spark, "ngram")
     docs = docs.select("text")
     counts = cut_lineage(docs.mapInArrow(_word_counts, "key long, n long").groupBy("key").agg(F.sum("n").alias("n")))
     total, distinct, ends = counts.agg(F.sum("n"), F.count("*"), F.max(F.when(F.col("key") == int(signed(np.array([code(END)], U))[0]), F.col("n")))).first()
     if not distinct:
-        return Model(0, 0, 0, np.zeros(0, U), np.zeros(0, np.int64), []), folder
+        return Model(0, 0, 0, 0, []), folder
     parts = max(1, -(-distinct // SEGMENT))
     words = Level(_segments(counts.repartitionByRange(parts, "key").sortWithinPartitions("key"), _build_words, folder))
-    frequent = counts.where(F.col("n") >= max(least, share * total)).collect()  # at most 1 / share rows
-    keys = np.array(sorted((r.key, r.n) for r in frequent), np.int64).reshape(-1, 2)
-    return Model(total, distinct, ends, unsigned(np.ascontiguousarray(keys[:, 0])), keys[:, 1].copy(), [words]), folder
+    return Model(total, distinct, ends, max(least, share * total), [words]), folder
 
 
 ENCODED = [T.StructField("n_tokens", T.LongType()), T.StructField("n_known", T.LongType()), T.StructField("base_score", T.DoubleType()), T.StructField("codes", T.BinaryType())]
@@ -398,7 +388,7 @@ ENCODED = [T.StructField("n_tokens", T.LongType()), T.StructField("n_known", T.L
 
 def encode(docs: DataFrame, model: Model, keep: list[str]) -> DataFrame:
     """docs' `keep` columns with n_tokens, n_known, base_score and codes, kept in the shared folder: texts are looked up once."""
-    shared = docs.sparkSession.sparkContext.broadcast(model)  # the frequent words (at most 1 / share) and a list of segments
+    shared = docs.sparkSession.sparkContext.broadcast(model)  # a list of segments
 
     def start():
         def work(batch: pa.RecordBatch) -> list[pa.Array]:
@@ -422,7 +412,7 @@ def train_levels(encoded: DataFrame, model: Model, folder: str, order: int, leas
 def _level(encoded: DataFrame, model: Model, n: int, least: int, folder: str) -> Level:
     """Level n from encoded texts and the levels below; its n-grams' beginnings and ends are n-grams of the level below."""
     wide = model.begin + 1
-    shared = encoded.sparkSession.sparkContext.broadcast(model)  # the frequent words and the lists of segments
+    shared = encoded.sparkSession.sparkContext.broadcast(model)  # the lists of segments
 
     def count(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         m: Model = shared.value
@@ -454,8 +444,9 @@ def _level(encoded: DataFrame, model: Model, n: int, least: int, folder: str) ->
         first, number = int(context[0]), int(context[-1] - context[0] + 1)
         own = context - first
         if n == 2:
-            whole = np.r_[m.counts, m.docs][np.arange(first, first + number)].astype(np.float64)
-            lower = m.base_log(m.counts[word])
+            ids = np.arange(first, first + number)
+            whole = np.where(ids < m.begin, m.levels[0].take("count", np.minimum(ids, m.begin - 1)), m.docs)
+            lower = m.base_log(m.levels[0].take("count", word))
         else:
             whole = m.levels[n - 2].take("count", np.arange(first, first + number))
             # The lower order's probability: of the n-gram without its first word.

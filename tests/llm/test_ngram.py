@@ -116,3 +116,20 @@ def test_empty(spark):
     held = next(i for i in range(100) if zlib.crc32(str(i).encode()) % 7 == 2)
     only = ngram.score_held_out(spark.createDataFrame([(held, "a b")], "doc_id long, text string")).first()
     assert (only.n_tokens, only.n_known, only.train_tokens, only.base_score, only.score) == (3, 0, 0, 0.0, 0.0)
+
+
+def test_rare_words_of_a_large_corpus_are_in_ngrams(spark):
+    rows = [(i, "the of and to in " * 1000) for i in range(60)] + [(100 + i, "quorl vennit drasp") for i in range(20)]
+    got = ngram.score_held_out(spark.createDataFrame(rows, "doc_id long, text string").repartition(3)).where("doc_id >= 100").collect()
+    train = [t for i, t in rows if zlib.crc32(str(i).encode()) % 7 != 2]
+    slow = Slow(train, ngram.ORDER, 0, ngram.LEAST)
+    want = slow.score("quorl vennit drasp")
+    assert slow.c["quorl"] < 2e-4 * slow.n and len(got) == 20
+    assert all(abs(r.score - want) < 2e-3 and r.score > r.base_score + 5 for r in got)
+
+
+def test_model_broadcasts_no_words(spark):
+    import pickle
+
+    sizes = [len(pickle.dumps(ngram.train(spark.createDataFrame([(" ".join(f"w{i % n}" for i in range(3 * n)),)], "text string")))) for n in (100, 20_000)]
+    assert sizes[1] < 2 * sizes[0]
