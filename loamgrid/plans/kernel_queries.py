@@ -80,7 +80,7 @@ def _apart(spark, sf) -> DataFrame:
 
 
 def _tree(spark, sf) -> DataFrame:
-    streets = lines.without_dead_ends(X.roads(spark, sf)).where("fid % 100 < 4")
+    streets = lines.without_dead_ends(X.roads(spark, sf))
     return parts.run([parts.tag(_apart(spark, sf), "buildings"), parts.tag(streets, "streets", line=True)], parts.spanning_tree)
 
 
@@ -113,7 +113,7 @@ def mst_pairs(spark, sf):
 @query()
 def mst_clusters(spark, sf):
     """Oriented rectangles of the clusters of buildings."""
-    streets = lines.without_dead_ends(X.roads(spark, sf)).where("fid % 100 < 4")
+    streets = lines.without_dead_ends(X.roads(spark, sf))
     return _boxes(parts.run([parts.tag(_apart(spark, sf), "buildings"), parts.tag(streets, "streets", line=True)], parts.clusters()))
 
 
