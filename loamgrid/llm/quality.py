@@ -7,6 +7,9 @@ one that fails the base rules on its whole text.
 
 from __future__ import annotations
 
+from functools import reduce
+from operator import or_
+
 from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 
@@ -14,6 +17,7 @@ from loamgrid.llm.common import others
 
 #: White space that separates words.
 SPACE = r"[\x20\x09-\x0D]"
+BLANKS = " \t\n\x0b\f\r"
 #: Marks that close a sentence, signs that count as symbols, phrases of boilerplate (lower case).
 CLOSING = (".", "!", "?", "…", ":", ";", '"', "'", "”", "’", "»", ")")
 SYMBOLS = "#*$%&|<>"
@@ -31,14 +35,12 @@ def occurrences(text: Column, part: str) -> Column:
 def line_passes(line: Column) -> Column:
     """Whether a line passes all rules; counts are held against the line's length in characters."""
     size = F.length(line)
-    punctuated = (size >= SHORT) | F.right(F.rtrim(line), F.lit(1)).isin(*CLOSING)
+    punctuated = (size >= SHORT) | F.right(F.rtrim(line, F.lit(BLANKS)), F.lit(1)).isin(*CLOSING)
     navigation = (occurrences(line, "|") + occurrences(line, " > ")) * PER_SEPARATOR > size
     signs = sum((occurrences(line, s) for s in "%*$&#"), F.lit(0)) * PER_SIGN > size
     shouting = occurrences(line, "!!") * PER_SHOUT > size
-    low = F.lower(line)
-    boilerplate = F.lit(False)
-    for p in PHRASES:
-        boilerplate = boilerplate | F.contains(low, F.lit(p))
+    holds = lambda low: reduce(or_, (F.contains(low, F.lit(p)) for p in PHRASES))
+    boilerplate = F.exists(F.array(F.lower(line)), holds)  # lower-cased once
     return punctuated & ~navigation & ~signs & ~shouting & ~boilerplate
 
 
@@ -101,9 +103,10 @@ def oracle() -> str:
     """DuckDB SQL for op4."""
     quote = lambda s: "'" + s.replace("'", "''") + "'"
     count = lambda part: f"((length(l) - length(replace(l, {quote(part)}, ''))) // {len(part)})"
+    blanks = " || ".join(f"chr({ord(c)})" for c in BLANKS)
     phrases = " OR ".join(f"contains(lower(l), {quote(p)})" for p in PHRASES)
     passes = (
-        f"(length(l) >= {SHORT} OR right(rtrim(l, ' '), 1) IN ({', '.join(map(quote, CLOSING))})) AND NOT (({count('|')} + {count(' > ')}) * {PER_SEPARATOR} > length(l)) "
+        f"(length(l) >= {SHORT} OR right(rtrim(l, {blanks}), 1) IN ({', '.join(map(quote, CLOSING))})) AND NOT (({count('|')} + {count(' > ')}) * {PER_SEPARATOR} > length(l)) "
         f"AND NOT (({' + '.join(count(s) for s in '%*$&#')}) * {PER_SIGN} > length(l)) AND NOT ({count('!!')} * {PER_SHOUT} > length(l)) AND NOT ({phrases})"
     )
     return rf"""

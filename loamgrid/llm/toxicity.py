@@ -29,6 +29,9 @@ STEM_SIZES = (4, 5, 6)  # characters of a stem entry
 MIN_DOCS, COVER = 5, 3  # toxic documents that an entry needs; entries that a toxic document gets
 REMEMBERED = 500_000
 WINDOW = 8  # words to each side that a hit is judged by
+DENSE_REACH = 200  # characters to each side within which hits are massed
+#: Transitions of the automaton that a worker keeps; beyond, it begins anew, which changes no result.
+KEPT_TRANSITIONS = 1_000_000
 
 WORD = re.compile(r"\w+(?:[@$*!]+\w+)*")
 #: Signs that stand for letters, marks of quotation, words of reporting in four languages.
@@ -55,7 +58,7 @@ class Lexicon:
         self.entries = entries
         self.children: list[dict[str, int]] = [{}]
         self.ends: list[int | None] = [None]  # errors that the entry ending here allows
-        self.stem = [False]
+        self.stem: list[int | None] = [None]  # errors that the stem ending here allows
         for entry in entries:
             node = 0
             for c in entry.rstrip("*"):
@@ -63,17 +66,21 @@ class Lexicon:
                 if node == len(self.ends):
                     self.children.append({})
                     self.ends.append(None)
-                    self.stem.append(False)
+                    self.stem.append(None)
             if entry.endswith("*"):
-                self.stem[node] = True
+                self.stem[node] = allowed(len(entry) - 2)  # any ending goes, so that an error counts as in a word one shorter
             else:
                 self.ends[node] = allowed(len(entry))
-        self.most = max((e for e in self.ends if e is not None), default=0)
+        self.most = max((e for e in self.ends + self.stem if e is not None), default=0)
+        self._begin()
+
+    def _begin(self) -> None:
         self.states: dict[frozenset, int] = {}
         self.sets: list[frozenset] = []
         self.next: list[dict[str, int]] = []
         self.found: list[tuple[bool, bool]] = []  # of each state: whether an entry ends here exactly, with errors
-        self.stemmed: list[bool] = []
+        self.stemmed: list[int] = []  # 2: a stem ends here exactly, 1: with errors
+        self.transitions = 0
         self.start = self._state({(0, 0)})
         self.dead = self._state(set())
 
@@ -91,7 +98,7 @@ class Lexicon:
             self.sets.append(key)
             self.next.append({})
             self.found.append((any(self.ends[n] is not None and e == 0 for n, e in key), any(self.ends[n] is not None and 0 < e <= self.ends[n] for n, e in key)))
-            self.stemmed.append(any(self.stem[n] and e == 0 for n, e in key))
+            self.stemmed.append(max((2 if e == 0 else 1 for n, e in key if self.stem[n] is not None and e <= self.stem[n]), default=0))
         return self.states[key]
 
     def _step(self, state: int, c: str) -> int:
@@ -101,20 +108,40 @@ class Lexicon:
             for letter, child in self.children[node].items():
                 pairs.add((child, errors + (letter != c)))
         self.next[state][c] = new = self._state(pairs)
+        self.transitions += 1
         return new
 
     def match(self, word: str) -> int:
-        """2 if the word is an entry or has its stem, 1 if it is one but for allowed errors, else 0."""
-        state, following, dead = self.start, self.next, self.dead
+        """2 if the word is an entry or has its stem, 1 if it is one or begins with a stem but for allowed errors, else 0."""
+        if self.transitions > KEPT_TRANSITIONS:
+            self._begin()
+        state, following, dead, stemmed = self.start, self.next, self.dead, 0
         for c in word:
             to = following[state].get(c)
             state = self._step(state, c) if to is None else to
             if state == dead:
-                return 0
-            if self.stemmed[state]:
-                return 2
+                return stemmed
+            if self.stemmed[state] > stemmed:
+                stemmed = self.stemmed[state]
+                if stemmed == 2:
+                    return 2
         exact, near = self.found[state]
-        return 2 if exact else int(near)
+        return 2 if exact else int(near or stemmed)
+
+
+def densest(at: list[int], mass: list[float], reach: int = DENSE_REACH) -> float:
+    """The largest mass of hits less than `reach` characters from one of them, by two ends that move along the ascending places."""
+    best = total = 0.0
+    first = last = 0
+    for x in at:
+        while last < len(at) and at[last] < x + reach:
+            total += mass[last]
+            last += 1
+        while at[first] <= x - reach:
+            total -= mass[first]
+            first += 1
+        best = max(best, total)
+    return best
 
 
 @dataclass
@@ -167,7 +194,7 @@ class Model:
         abuse = [1 - q for *_, q in hits]
         exact = sum(a for a, h in zip(abuse, hits, strict=True) if h[2] == 2)
         near = sum(abuse) - exact
-        dense = max(sum(a for a, x in zip(abuse, hits, strict=True) if abs(x[0] - h[0]) < 200) for h in hits) if len(hits) < 500 else sum(abuse) / len(hits)
+        dense = densest([h[0] for h in hits], abuse)
         return [float(exact >= 0.5), math.log1p(exact), math.log1p(near), math.log1p(dense), math.log1p(2000 * (exact + near) / (len(text) + 100))]
 
     def score(self, text: str) -> float:
