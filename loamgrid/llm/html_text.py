@@ -1,8 +1,9 @@
 """Main text of web pages: flat text blocks, classified by a decision tree.
 
 A page is read once, tag by tag, into a flat list of blocks. A block's features are its words and link density, those of the blocks
-before and after it, whether it is a heading, and what containers are open around it. The tree is grown (Gini impurity) from the
-labelled table in labelled_pages.
+before and after it, whether it is a heading, what containers are open around it, and how much of the page lies in containers whose
+names speak against them, so that words and links can overrule names. The tree is grown (Gini impurity) from the labelled table in
+labelled_pages.
 """
 
 from __future__ import annotations
@@ -10,6 +11,8 @@ from __future__ import annotations
 import functools
 import html
 import re
+from collections import Counter
+from collections.abc import Iterator
 from dataclasses import dataclass
 
 import numpy as np
@@ -20,32 +23,36 @@ from pyspark.sql import types as T
 from loamgrid.llm.common import map_batches, texts
 from loamgrid.llm.labelled_pages import pages
 
-#: Fixed values of HTML: elements whose content is no text, elements that begin and end a block, elements without content.
-SILENT = "script|style|noscript|template|iframe|svg|object|textarea|select|title|audio|video|canvas|math|datalist"
+#: Fixed values of HTML: elements whose content is raw text, others whose content is no text, elements that begin and end a block.
+RAW = frozenset("script style noscript template iframe textarea title".split())
+SILENT = frozenset("svg object select audio video canvas math datalist".split())
 BLOCK = frozenset(
     "address article aside blockquote body button caption center dd details dialog dir div dl dt fieldset figcaption figure footer form h1 h2 h3 h4 h5 h6 "
     "head header hgroup hr html legend li main menu nav ol optgroup option p pre section summary table tbody td tfoot th thead tr ul".split()
 )
-CONTAINER = frozenset("article aside button details dialog div dl fieldset figure footer form header main menu nav ol section table ul td span p li".split()) - {"p", "li", "span", "td"}
-#: Containers, and words of their class, id or role, that hold something else than the article, or the article.
+CONTAINER = frozenset("article aside button details dialog div dl fieldset figure footer form header main menu nav ol section table ul".split())
+HEADING = frozenset("h1 h2 h3 h4 h5 h6".split())
+#: Containers that hold something else than the article, or the article.
 APART = frozenset("nav footer aside form dialog menu button".split())
+ARTICLE = frozenset("article main".split())
+#: Words of a container's class, id or role: for what isn't the article, for the article, for layout around either, and words that
+#: say of a container that it has such a part.
 APART_WORDS = frozenset(
-    "ad ads advert adverts advertisement advertising banner breadcrumb breadcrumbs comment comments consent contentinfo cookie cookies copyright disqus footer gdpr header hidden legal login "
+    "ad ads advert adverts advertisement advertising banner breadcrumb breadcrumbs comment comments consent contentinfo cookie cookies copyright disqus footer gdpr header legal login "
     "masthead menu modal nav navbar navigation newsletter notice notices pager pagination popup promo promotion recommended related reply replies search share sharing sidebar signup social "
-    "sponsor sponsored subscribe subscription toolbar widget".split()
+    "sponsor sponsored subscribe subscription toolbar widget widgets".split()
 )
-ARTICLE = frozenset("article main".split())
 ARTICLE_WORDS = frozenset("article articlebody content entry main maincontent post story".split())
-HEADING = frozenset("h1 h2 h3 h4 h5 h6".split())
+LAYOUT_WORDS = frozenset("wrap wrapper container layout grid row inner outer page body site columns".split())
+HAVING_WORDS = frozenset("has with without no is hide show toggle layout template page".split())
 
-TOKEN = re.compile(
-    rf"<!--.*?(?:-->|\Z)|<(?P<silent>{SILENT})\b[^>]*+(?:/>|>.*?(?:</(?P=silent)\b[^>]*+>|\Z))"
-    r"|<(?P<close>/?)(?P<name>[a-z][a-z0-9:-]*+)(?P<rest>(?:[^>\"']|\"[^\"]*+\"|'[^']*+')*+)>|<(?P<close2>/?)(?P<name2>[a-z][a-z0-9:-]*+)(?P<rest2>[^>]*+)>|<[!?/][^>]*+>",
-    re.S | re.I,
-)
-ATTRIBUTE = re.compile(r"\b(class|id|role|hidden|aria-hidden|style)(?:\s*=\s*(?:\"([^\"]*)\"|'([^']*)'|([^\s\"'>]+)))?", re.I)
+#: A tag without a stray quote or bracket; what begins otherwise is read by attribute. Each match ends before the next bracket.
+PLAIN_TAG = re.compile(r"<(/?)([a-z][^\s/>]*+)((?:[^<>\"']*+(?:\"[^\"<>]*+\"|'[^'<>]*+'))*+[^<>\"']*+)>", re.I)
+NAME = re.compile(r"[a-z][^\s/>]*+", re.I)
+ATTRIBUTE = re.compile(r"[\s/]*+([^\s/>=][^\s/>=]*+)(?:\s*+(=)\s*+)?")
+VALUE = re.compile(r"[^\s>]*+")
 
-FEATURES = ("apart", "in_article", "page_has_article", "words", "links", "words_before", "links_before", "words_after", "links_after", "heading")
+FEATURES = ("apart", "named_apart", "in_article", "page_has_article", "page_apart", "words", "links", "words_before", "links_before", "words_after", "links_after", "heading")
 
 
 @dataclass
@@ -53,90 +60,229 @@ class Block:
     text: str
     words: int
     links: float  # share of the words that are in links
-    apart: bool
+    apart: bool  # in an element that is no article by its kind, or hidden
+    named: bool  # in one that is none by its name
     in_article: bool
     heading: bool
 
 
-def _kind(name: str, rest: str, inside_article: bool) -> tuple[bool, bool]:
-    """(apart, article) of a container."""
+class Reader:
+    """Tags of a page in their order; work is linear in its length, as what is looked for in vain is looked for once."""
+
+    def __init__(self, page: str) -> None:
+        self.page = page
+        self.missing: set[str] = set()
+        self.lowered: str | None = None
+
+    def find(self, what: str, at: int) -> int:
+        """Where `what` stands from `at` on, or -1; places are asked for in ascending order."""
+        if what in self.missing:
+            return -1
+        found = self.page.find(what, at)
+        if found < 0:
+            self.missing.add(what)
+        return found
+
+    def closing(self, name: str, at: int) -> int:
+        """Where the next closing tag of this name begins, or -1."""
+        what = "</" + name
+        if what in self.missing:
+            return -1
+        if self.lowered is None:  # letter by letter: lower() of the whole could change its length
+            self.lowered = self.page.lower() if self.page.isascii() else self.page.translate(LOWER)
+        found = self.lowered.find(what, at)
+        while found >= 0 and self.lowered[found + len(what) : found + len(what) + 1] not in ENDS:
+            found = self.lowered.find(what, found + 1)
+        if found < 0:
+            self.missing.add(what)
+        return found
+
+    def attributes(self, at: int) -> tuple[int, list[tuple[str, str]]]:
+        """Where a tag ends whose name ends at `at` (-1: nowhere), and its attributes. Quotes open a value only after =; one that never
+        closes is part of an unquoted value."""
+        page, out = self.page, []
+        while True:
+            m = ATTRIBUTE.match(page, at)
+            if not m:
+                end = self.find(">", at)
+                return (end + 1 if end >= 0 else -1), out
+            at, value = m.end(), ""
+            if m[2]:
+                quote = page[at : at + 1]
+                end = self.find(quote, at + 1) if quote in ("'", '"') else -1
+                if end >= 0:
+                    value, at = page[at + 1 : end], end + 1
+                else:
+                    v = VALUE.match(page, at)
+                    value, at = v[0], v.end()
+            out.append((m[1].lower(), value))
+
+    def __iter__(self) -> Iterator[tuple[int, int, str, bool, list[tuple[str, str]], bool]]:
+        """(begin, end, name, closes, attributes, whether it closes itself) of each tag; comments and the like have no name."""
+        page, at = self.page, 0
+        while (at := page.find("<", at)) >= 0:
+            after = page[at + 1 : at + 2]
+            if after == "!" or after == "?":
+                comment = page.startswith("<!--", at)
+                end = self.find("-->", at + 4) if comment else self.find(">", at)
+                end = len(page) if end < 0 else end + (3 if comment else 1)
+                yield at, end, "", False, [], False
+                at = end
+                continue
+            if m := PLAIN_TAG.match(page, at):
+                begin, at, rest = at, m.end(), m[3]
+                given = Reader(rest).attributes(0)[1] if "=" in rest or "hidden" in rest else []
+                yield begin, at, m[2].lower(), bool(m[1]), given, rest.endswith("/") or m[2].endswith("/")
+                continue
+            closes = after == "/"
+            m = NAME.match(page, at + 1 + closes)
+            if not m:
+                if closes and (end := self.find(">", at)) >= 0:  # </ before anything else is a comment
+                    yield at, end + 1, "", False, [], False
+                    at = end + 1
+                else:
+                    at += 1
+                continue
+            end, given = self.attributes(m.end())
+            if end < 0:  # the tag never ends
+                yield at, len(page), "", False, [], False
+                return
+            yield at, end, m[0].lower(), closes, given, page[end - 2] == "/"
+            at = end
+
+
+LOWER = {c: c + 32 for c in range(65, 91)}
+ENDS = frozenset(["", ">", "/", " ", "\t", "\n", "\f", "\r"])
+
+
+def spoken(names: str) -> tuple[bool, bool]:
+    """(apart, article) by the names in a class, id or role. The last word of a name that isn't mere layout counts (post-comments); a
+    name of layout around both kinds, and one that begins with what it has (has-sidebar), says nothing."""
+    apart = article = False
+    for name in names.lower().split():
+        words = [w for w in re.split(r"[^a-z0-9]+", name) if w]
+        if not words or (len(words) > 1 and words[0] in HAVING_WORDS):
+            continue
+        kinds = {w in APART_WORDS for w in words if w in APART_WORDS or w in ARTICLE_WORDS}
+        heads = [w for w in words if w not in LAYOUT_WORDS]
+        if not kinds or (len(kinds) == 2 and len(heads) < len(words)):
+            continue
+        said = [w for w in heads if w in APART_WORDS or w in ARTICLE_WORDS]
+        last = said[-1] in APART_WORDS if said else False
+        apart, article = apart or last, article or (bool(said) and not last)
+    return apart, article
+
+
+def _kind(name: str, given: list[tuple[str, str]], inside_article: bool) -> tuple[bool, bool, bool]:
+    """(apart by its kind, apart by its name, article) of a container."""
     apart, article = name in APART or (name == "header" and not inside_article), name in ARTICLE
-    if rest:
-        for m in ATTRIBUTE.finditer(rest):
-            key, value = m[1].lower(), (m[2] or m[3] or m[4] or "").lower()
-            if key in ("class", "id", "role"):
-                said = re.split(r"[^a-z0-9]+", value)
-                apart |= not APART_WORDS.isdisjoint(said)
-                article |= not ARTICLE_WORDS.isdisjoint(said)
-            elif key == "hidden" or (key == "aria-hidden" and value == "true") or (key == "style" and re.search(r"display\s*:\s*none", value)):
-                apart = True
-    return apart, article and not apart
+    named = False
+    for key, value in given:
+        if key in ("class", "id", "role"):
+            against, for_it = spoken(value)
+            named |= against
+            article |= for_it
+        elif key == "hidden" or (key == "aria-hidden" and value.lower() == "true") or (key == "style" and re.search(r"display\s*+:\s*+none", value, re.I)):
+            apart = True
+    return apart, named, article and not apart and not named
 
 
 def blocks(page: str) -> list[Block]:
     """Flat text blocks of a page in their order; blocks without a word are left out."""
     out: list[Block] = []
-    stack: list[tuple[str, bool, bool]] = []
+    stack: list[tuple[str, bool, bool, bool, bool]] = []  # name, apart, named, article, silent
+    open_names: Counter = Counter()
+    depth = [0, 0, 0, 0]  # how many open containers are apart, named, an article, silent
     parts: list[str] = []
-    in_link = linked = at = 0
-    heading = apart = in_article = False
+    linked = at = 0
+    in_link = heading = False
 
     def flush() -> None:
         nonlocal parts, linked
+        if not parts:
+            return
         text = " ".join(html.unescape("".join(parts)).split())
         if text:
             n = text.count(" ") + 1
-            out.append(Block(text, n, min(1.0, linked / n), apart, in_article, heading))
+            out.append(Block(text, n, min(1.0, linked / n), depth[0] > 0, depth[1] > 0, depth[2] > 0, heading))
         parts, linked = [], 0
 
-    for m in TOKEN.finditer(page):
-        if m.start() > at:
-            text = page[at : m.start()]
+    def shut(name: str) -> None:
+        """Closes the innermost open container of this name and all in it."""
+        while open_names[name]:
+            last = stack.pop()
+            open_names[last[0]] -= 1
+            for i in range(4):
+                depth[i] -= last[i + 1]
+            if last[0] == name:
+                return
+
+    reader = Reader(page)
+    skip = 0  # up to where raw text goes
+    for begin, end, name, closes, given, alone in reader:
+        if begin < skip:
+            continue
+        if begin > at and not depth[3]:
+            text = page[at:begin]
             parts.append(text)
             if in_link:
                 linked += len(html.unescape(text).split())
-        at = m.end()
-        name = (m["name"] or m["name2"] or "").lower()
-        if not name:
-            continue
-        closes = m["close"] or m["close2"]
-        if name == "a":
-            in_link = 0 if closes else 1
+        at = end
+        if name in RAW:
+            if not closes and not alone:
+                close = reader.closing(name, end)
+                at = skip = close if close >= 0 else len(page)
+        elif name in SILENT:
+            if closes:
+                if open_names[name]:
+                    shut(name)
+            elif not alone and reader.closing(name, end) >= 0:
+                stack.append((name, False, False, False, True))
+                open_names[name] += 1
+                depth[3] += 1
+        elif name == "a":
+            in_link = not closes
         elif name in BLOCK:
             flush()
             if name in HEADING:
                 heading = not closes
             if name in CONTAINER:
                 if closes:
-                    if any(x[0] == name for x in stack):
-                        while stack.pop()[0] != name:
-                            pass
+                    if open_names[name]:
+                        shut(name)
                 else:
-                    stack.append((name, *_kind(name, m["rest"] or m["rest2"] or "", in_article)))
-                apart, in_article = any(x[1] for x in stack), any(x[2] for x in stack)
-                in_link = 0
-        elif name in ("br", "img", "wbr") and name != "wbr":
+                    kind = _kind(name, given, depth[2] > 0)
+                    stack.append((name, *kind, False))
+                    open_names[name] += 1
+                    for i in range(3):
+                        depth[i] += kind[i]
+                in_link = False
+        elif name in ("br", "img"):
             parts.append(" ")
-    parts.append(page[at:])
+    if not depth[3]:
+        parts.append(page[at:])
     flush()
     return out
 
 
 def features(found: list[Block]) -> np.ndarray:
-    """(blocks, FEATURES); before the first and after the last block there are no words."""
+    """(blocks, FEATURES); before the first and after the last block there are no words. page_apart: the share of the page's words
+    outside apart elements that lie in containers apart by their names."""
     if not found:
         return np.zeros((0, len(FEATURES)))
     own = np.array([(b.words, b.links) for b in found])
     none = np.zeros((1, 2))
-    flags = np.array([(b.apart, b.in_article and not b.apart, 0, b.heading) for b in found], float)
-    flags[:, 2] = flags[:, 1].any()
-    return np.c_[flags[:, :3], own, np.r_[none, own[:-1]], np.r_[own[1:], none], flags[:, 3]]
+    flags = np.array([(b.apart, b.named, b.in_article and not b.apart and not b.named, 0, 0, b.heading) for b in found], float)
+    flags[:, 3] = flags[:, 2].any()
+    other = own[:, 0] * (1 - flags[:, 0])
+    flags[:, 4] = (other * flags[:, 1]).sum() / max(1.0, other.sum())
+    return np.c_[flags[:, :5], own, np.r_[none, own[:-1]], np.r_[own[1:], none], flags[:, 5]]
 
 
 class Tree:
     """Binary decision tree: (feature, threshold, left, right) or a leaf's class."""
 
-    def __init__(self, x: np.ndarray, y: np.ndarray, depth: int = 6) -> None:
+    def __init__(self, x: np.ndarray, y: np.ndarray, depth: int = 10) -> None:
         self.root = self._grow(x, y, depth)
 
     def _grow(self, x: np.ndarray, y: np.ndarray, depth: int):

@@ -27,6 +27,17 @@ PAGES = (
     """<body><p>-<a href=1>W2</a></p><p>-<a href=2>W3</a></p><p>-<a href=3>W10</a></p><p>+W50</p><p>+W70</p><p>+W12</p><p>+W24</p><p>-<a href=4>W9</a></p><p>-W5</p></body>""",
     """<body><div class="sidebar"><p>-W35</p><p>-W50</p></div><div id="content"><h1>+W5</h1><p>+W18</p><p>+W55</p><p>+W9</p></div><div class="social"><a href=f>-W1</a></div>
     <div role="contentinfo">-W16</div></body>""",
+    # names that speak against what holds the whole article: words and links overrule them
+    """<body><nav><a href=a>-W2</a></nav><div class="sidebar"><h1>+W7</h1><p>+W40</p><p>+W65</p><p>+W14</p><p>-<a href=r>W6</a></p><p>+W28</p></div><footer>-W9</footer></body>""",
+    """<body><div id="banner"><p>-<a href=a>W1</a></p><p>-<a href=b>W2</a></p><h2>+W5</h2><p>+W33</p><p>+W9</p><p>+W71</p><p>-<a href=c>W3</a></p></div></body>""",
+    # no article either, but names tell apart what is long
+    """<body><div class="navbar"><a href=a>-W2</a></div><div><h1>+W5</h1><p>+W42</p><p>+W17</p><p>+W88</p></div><div class="sidebar"><p>-W24</p><p>-W31</p></div></body>""",
+    """<body><div><h2>+W7</h2><p>+W55</p><p>+W36</p><p>+W61</p></div><div id="comments"><h3>-W2</h3><p>-W44</p><p>-W9</p><p>-W27</p></div><div class="legal-notice">-W19</div></body>""",
+    """<body><div class="cookie-banner">-W38</div><p>+W48</p><p>+W57</p><p>+W6</p><p>+W29</p><div class="newsletter-signup">-W16 <a href=s>W2</a></div></body>""",
+    """<body><h1>+W6</h1><p>+W38 <a href=x>W9</a></p><p>+W52</p><aside><p>-W41</p><p>-W13</p></aside><p>+W24</p><form>-W18</form><p>+W47</p><p>+W9</p></body>""",
+    """<body><div class="promo"><p>+W120</p><p>+W22</p></div><div class="menu"><a href=a>-W1</a> <a href=b>W2</a></div></body>""",
+    """<body><div class="content-sidebar-wrap"><main class="has-sidebar"><h1>+W4</h1><p>+W31</p><p>+W8</p></main><div class="widget-area sidebar"><p>-W26</p></div></div></body>""",
+    """<body><div class="post-content"><p>+W50</p><p>+W6</p></div><div class="post-comments"><p>-W40</p><p>-W12</p><p>-W3</p></div><div class="site-footer">-W11</div></body>""",
     """<body><h1>+W8</h1><p>+W30</p><p>+W26</p><p>+W44</p></body>""",
     """<body><p>+W40</p></body>""",
     """<body><article><p>+W1</p></article></body>""",

@@ -1,5 +1,6 @@
 import html
 import re
+import time
 import zlib
 
 import numpy as np
@@ -40,12 +41,57 @@ def test_article_of_every_page(spark):
         ("<article><p title='a>b' class=\"x\">kept</p><form>no<input></form><aside>no</aside><div class='comments'><p>no</p></div></article>", "kept"),
         ("<div class='cookie-notice'>no</div><main><p>kept</p></main><div id=sidebar>no</div>", "kept"),
         ("<article><p>a\n\t b  c</p></article>", "a b c"), ("<article><p>cut off", "cut off"), ("<article>x < y</article>", "x < y"),
+        ("<svg class='i' /><article><p>kept</p></article>", "kept"), ("<article><p>a</p><iframe src=x /><p>b</p></article>", "a\nb"),
+        ("<article data-id='header' data-hidden='false' title='a id=menu b'><p>kept</p></article>", "kept"), ("<main class='has-sidebar'><p>kept</p></main>", "kept"),
+        ("<div class='content-sidebar-wrap'><article><p>kept</p></article></div>", "kept"), ("<article><p title=it's>a</p><p class=\"x>b</p></article>", "a\nb"),
+        ("<article>a<svg><text>no</text></svg>b<SCRIPT>no</Script >c<scripty>d</article>", "abcd"), ("<article hidden><p>no</p></article><main>kept</main>", "kept"),
     ],
 )
 def test_main_text(page, want):
     assert html_text.main_text(page) == want
 
 
+@pytest.mark.parametrize("page", ["<a " * 200_000, "<div>" * 100_000 + "x" + "</div>" * 100_000, '<a href="' * 100_000, "<!--" * 100_000, "<svg>" * 100_000, "</p x='" * 100_000, "<a b='c' " * 100_000])
+def test_work_is_linear(page):
+    """Hostile pages take no more than a few microseconds a character (a quadratic reader takes minutes)."""
+    begin = time.process_time()
+    html_text.main_text(page)
+    assert time.process_time() - begin < 5
+
+
+def slow_features(found):
+    """Features of each block, one by one."""
+    article = any(b.in_article and not b.apart and not b.named for b in found)
+    outside = [b for b in found if not b.apart]
+    share = sum(b.words for b in outside if b.named) / max(1, sum(b.words for b in outside))
+    near = [(0, 0), *((b.words, b.links) for b in found), (0, 0)]
+    return [[b.apart, b.named, b.in_article and not b.apart and not b.named, article, share, b.words, b.links, *near[i], *near[i + 2], b.heading] for i, b in enumerate(found)]
+
+
+def test_blocks_and_features_brute_force():
+    """Random pages of known blocks: words, links and containers of each are what was written."""
+    rng = np.random.default_rng(5)
+    for _ in range(200):
+        page, want = "", []
+        for _ in range(rng.integers(1, 9)):
+            n, k = int(rng.integers(1, 30)), int(rng.integers(0, 4))
+            tag, close, apart, named, article = [("<div>", "</div>", False, False, False), ("<nav>", "</nav>", True, False, False), ("<div class='x sidebar'>", "</div>", False, True, False), ("<main>", "</main>", False, False, True)][rng.integers(4)]
+            heading = bool(rng.integers(2))
+            p = "h2" if heading else "p"
+            page += f"{tag}<{p}>{'w ' * n}<a href='?a>b'>{'v ' * k}</a></{p}>{close}<!-- <p>no -->"
+            want.append(html_text.Block(" ".join(["w"] * n + ["v"] * k), n + k, k / (n + k), apart, named, article, heading))
+        found = html_text.blocks(page)
+        assert found == want
+        assert np.allclose(html_text.features(found), np.array(slow_features(found), float))
+
+
+def test_words_overrule_names():
+    """A page that names all of its text a sidebar still has its long paragraphs; a real sidebar beside a main part goes."""
+    long, other = "w " * 60, "v " * 60
+    assert html_text.main_text(f"<nav><a href=a>n</a></nav><div class=sidebar><p>{long}</p><p>{other}</p></div>") == f"{long.strip()}\n{other.strip()}"
+    assert html_text.main_text(f"<div><p>{long}</p><p>{long}</p><p>{long}</p></div><div class=sidebar><p>{other}</p></div>") == "\n".join([long.strip()] * 3)
+
+
 def test_pages_edge_rows(spark):
     df = spark.createDataFrame([(1, None, None), (1, None, None), (None, "u", "<article>x</article>")], "page_id long, url string, html string")
     assert sorted(map(tuple, html_text.extract(df).collect()), key=str) == [(1, None, "", 0), (1, None, "", 0), (None, "u", "x", 1)]
