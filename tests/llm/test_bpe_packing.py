@@ -1,7 +1,8 @@
 import hashlib
+import math
 import random
 import zlib
-from collections import defaultdict
+from collections import Counter, defaultdict
 
 import numpy as np
 import public_tokenizers
@@ -84,9 +85,9 @@ def test_pack_table(spark, library, sf):
     docs = spark.read.parquet(f"{sf}/documents.parquet")
     ids_of = {r.doc_id: library_ids(library, r.text) + [1] for r in docs.collect()}
     got = [tuple(r) for r in packing.pack(docs.withColumn("start", F.lit("x")), PATH).collect()]
-    check_pieces(got, ids_of, 2048, docs.rdd.getNumPartitions())
+    check_pieces(got, ids_of, 2048, spark.sparkContext.defaultParallelism)
     odd = packing.pack(rows(spark).where("doc_id is not null").dropDuplicates(["doc_id"]).where("doc_id != 3").coalesce(1), PATH).collect()
-    check_pieces([tuple(r) for r in odd], {i: library_ids(library, t) + [1] for i, t in enumerate(ODD) if i != 3}, 2048, 1)
+    check_pieces([tuple(r) for r in odd], {i: library_ids(library, t) + [1] for i, t in enumerate(ODD) if i != 3}, 2048, spark.sparkContext.defaultParallelism)
     assert packing.pack(rows(spark).limit(0), PATH).collect() == []
     assert {r.doc_id for r in packing.pack(rows(spark), PATH).collect()} == {None, *range(len(ODD))}
 
@@ -107,20 +108,71 @@ def test_neighbours_share_terms():
     assert sum(got[i] % 2 == got[i - i % 4] % 2 for i in range(60)) >= 58  # each topic has 30, so one window has both
 
 
-def test_bm25_brute_force():
-    import math
-
-    random.seed(4)
-    items = [np.array([random.randint(0, 9) for _ in range(random.randint(1, 12))], np.uint32) for _ in range(25)]
+def slow_scores(items, seed):
+    """BM25 of each item for all terms of the seed that another item holds, by the formula."""
+    mean, out = sum(map(len, items)) / len(items), []
+    held = [Counter(x.tolist()) for x in items]
+    df = Counter(t for x in held for t in x)
+    for x, tfs in zip(items, held, strict=True):
+        score = 0.0
+        for t in held[seed]:
+            if df[t] > 1 and tfs[t]:
+                score += math.log(1 + (len(items) - df[t] + 0.5) / (df[t] + 0.5)) * tfs[t] * (packing.K1 + 1) / (tfs[t] + packing.K1 * (1 - packing.B + packing.B * len(x) / mean))
+        out.append(score)
+    return out
+
+
+@pytest.mark.parametrize(("terms", "longest"), [(10, 12), (300, 60), (4000, 900)])
+def test_bm25_brute_force(terms, longest):
+    """Seeds of a few and of over 500 different terms: each term counts."""
+    rng = np.random.default_rng(4)
+    items = [rng.zipf(1.3, rng.integers(1, longest)).clip(0, terms).astype(np.uint32) for _ in range(40)]
+    if terms == 4000:
+        items += [np.arange(600, dtype=np.uint32) * 3, np.arange(500, dtype=np.uint32) * 3 + 30]
     index = packing.Index(items)
-    mean = sum(map(len, items)) / len(items)
-    for q in items:
-        want = []
-        for x in items:
-            score = 0.0
-            for t in set(q.tolist()):
-                df, tf = sum(t in y for y in items), x.tolist().count(t)
-                if df > 1 and tf:
-                    score += math.log(1 + (len(items) - df + 0.5) / (df + 0.5)) * tf * (packing.K1 + 1) / (tf + packing.K1 * (1 - packing.B + packing.B * len(x) / mean))
-            want.append(score)
-        assert np.allclose(index.scores(q), want)
+    for q in range(len(items)):
+        assert np.allclose(index.scores(q), slow_scores(items, q), rtol=1e-4)
+
+
+def test_order_brute_force():
+    """The greedy order, item by item, against scores worked out anew for each seed."""
+    rng = np.random.default_rng(6)
+    items = [rng.integers(0, 200, rng.integers(1, 50)).astype(np.uint32) for _ in range(60)]
+    window, want, unused, seed, filled = 100, [], list(range(60)), None, 0
+    while unused:
+        if seed is None:
+            seed = unused.pop(0)
+            want.append(seed)
+            filled = (filled + len(items[seed])) % window
+            if not filled:
+                seed = None
+                continue
+        scores, at, seed = slow_scores(items, seed), seed, None
+        for i in sorted((i for i in unused if scores[i] > 0), key=lambda i: (-round(scores[i], 5), i)):
+            unused.remove(i)
+            want.append(i)
+            filled += len(items[i])
+            if filled >= window:
+                filled %= window
+                seed = i if filled else None
+                break
+    assert list(packing.order(items, window)) == want
+
+
+def test_statistics_and_dealing_cover_all(spark, library, sf):
+    docs = spark.read.parquet(f"{sf}/documents.parquet").union(spark.read.parquet(f"{sf}/documents.parquet").where("doc_id < 50"))
+    ids_of = [(r.doc_id, library_ids(library, r.text) + [1]) for r in docs.collect()]
+    kind = packing.narrow(PATH)
+    encoded = packing.encode_documents(docs, PATH, 1)
+    known, total = packing.statistics(encoded, kind, 2048)
+    df = Counter(t for _, x in ids_of for t in set(x))
+    assert known.docs == len(ids_of) and total == sum(len(x) for _, x in ids_of) and np.isclose(known.mean * known.docs, sum(len(x) % 2048 for _, x in ids_of))
+    assert {t: n for t, n in enumerate(known.df.tolist()) if n} == dict(df)
+    dealt = packing.deal(encoded, known, kind, 2048, 5, shard_docs=16).withColumn("p", F.spark_partition_id()).collect()
+    assert sorted((r.doc_id, np.frombuffer(r.ids, kind).tolist()) for r in dealt) == sorted(ids_of)
+    groups = defaultdict(set)
+    for r in dealt:
+        groups[r.lead, r.part].add(r.p)
+    assert all(len(g) == 1 for g in groups.values())
+    sizes = Counter((r.lead, r.part) for r in dealt)
+    assert max(sizes.values()) <= 16 * encoded.rdd.getNumPartitions() + 16  # no term gathers more than some shards

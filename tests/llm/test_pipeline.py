@@ -68,7 +68,7 @@ def test_near_stage(outputs):
 def test_packing_stage(outputs):
     library = Tokenizer.from_file(PATH)
     ids = {r.doc_id: library_ids(library, r.text) + [1] for r in outputs[4].collect()}
-    check_pieces([tuple(r) for r in outputs[5].collect()], ids, 2048, outputs[4].rdd.getNumPartitions())
+    check_pieces([tuple(r) for r in outputs[5].collect()], ids, 2048, outputs[4].sparkSession.sparkContext.defaultParallelism)
 
 
 def test_run_writes_between_the_stages(spark, sf):
