@@ -62,6 +62,31 @@ def test_exact_groups_brute_force(spark, sf):
     assert all(r.doc_id == r.keep_id for r in got if r.kept)
 
 
+def test_hot_text_is_split(spark, monkeypatch):
+    """A third of all rows have one text: splitters fall between its copies, groups stay whole, and broadcast groups give the same."""
+    monkeypatch.setattr(exact_dedup, "HOT", 3)
+    names = {"spark.sql.execution.arrow.maxRecordsPerBatch": "5", "spark.sql.adaptive.enabled": "false"}
+    before = {n: spark.conf.get(n) for n in names}
+    for n, v in names.items():
+        spark.conf.set(n, v)
+    try:
+        rows = [(i, "Hot text " * 20 if i % 5 else [f"own {i}", f"twice {i // 30}"][i % 2]) for i in range(3000)] + [(2999, "hot TEXT " * 20)]
+        df = frame(spark, rows).repartition(8)
+        groups = defaultdict(list)
+        for i, t in rows:
+            groups[lower(t)].append(i)
+        got = exact_dedup.exact_groups(df).collect()
+        assert sorted((r.doc_id, r.keep_id, r.group_size) for r in got) == sorted((i, max(ids), len(ids)) for ids in groups.values() for i in ids)
+        assert sum(r.kept for r in got) == len(groups) and all(r.doc_id == r.keep_id for r in got if r.kept)
+        hot = exact_dedup.runs(df).where("text like 'Hot%'").groupBy(F.spark_partition_id().alias("p")).count().collect()
+        assert len(hot) >= 2  # the text's copies are in several tasks
+        kept = exact_dedup.exact_dedup(df.withColumn("_top", F.lit(1)).withColumn("lang", F.lit("en")))
+        assert kept.columns == ["doc_id", "text", "lang"] and sorted(r.doc_id for r in kept.collect()) == sorted(max(ids) for ids in groups.values())
+    finally:
+        for n, v in before.items():
+            spark.conf.set(n, v)
+
+
 def test_exact_dedup_keeps_columns_and_empty_tables(spark):
     df = spark.createDataFrame([(1, "A", "en"), (2, "a", "de"), (2, "a", "de"), (3, None, None)], "doc_id long, text string, lang string")
     assert sorted(map(tuple, exact_dedup.exact_dedup(df).collect()), key=str) == [(2, "a", "de"), (3, None, None)]
