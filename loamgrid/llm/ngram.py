@@ -6,7 +6,8 @@ least this share of the training tokens): per context a monotone
 pointer (Elias-Fano) to its children, the children's word numbers packed in as many bits as they need, and smoothed probabilities and
 back-off weights quantised to 16 bits. A query finds a word among its context's children by successor search.
 
-Counting is distributed; each level is cut at contexts into segments that tasks write to the cluster's shared folder and that workers
+Counting is distributed: tasks send compressed runs of ascending counts to the ranges of contexts, where they are merged. Each level is
+cut at contexts into segments that tasks write to the cluster's shared folder and that workers
 map into memory, so the model is neither collected nor broadcast and grows with the corpus. Only the list of segments goes through
 the driver.
 
@@ -30,6 +31,7 @@ import numpy as np
 import pyarrow as pa
 import pyarrow.fs
 import xxhash
+import zstandard
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 from pyspark.sql import types as T
@@ -46,8 +48,8 @@ LOWEST = -16.0
 REMEMBERED, CHARS_AT_ONCE = 600_000, 1 << 21
 #: Contexts of a segment whose pointers a worker keeps decoded (8 bytes each).
 DECODED = 1 << 17
-#: Rows of a segment, about.
-SEGMENT = 1 << 22
+#: Training tokens for each segment of a higher level; keys that are merged at once.
+RAW, MERGED = 1 << 22, 1 << 20
 
 
 def quantise(log: np.ndarray) -> np.ndarray:
@@ -319,48 +321,99 @@ class Model:
 # --- counting and building ---------------------------------------------------------------------------------------------------
 
 
-def _word_counts(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
-    """(hash, n) of words; a task's counts are given out whenever there are many."""
+def squeeze(keys: np.ndarray, times: np.ndarray) -> bytes:
+    """Ascending keys and their counts as bytes: differences, byte by byte, compressed."""
+    wide = np.r_[np.diff(keys, prepend=0), times].view(np.uint8).reshape(-1, 8).T
+    return zstandard.compress(np.ascontiguousarray(wide).tobytes(), 1)
 
-    def out(counts: dict[bytes, int]) -> pa.RecordBatch:
-        codes = np.fromiter(map(code, counts), U, len(counts))
-        return pa.RecordBatch.from_arrays([pa.array(signed(codes)), pa.array(np.fromiter(counts.values(), np.int64, len(counts)))], names=["key", "n"])
 
-    counts: Counter = Counter()
-    for batch in batches:
-        for t in texts(batch):
-            counts.update(tokens(t))
-        counts[END] += batch.num_rows
-        if len(counts) > REMEMBERED:
-            yield out(counts)
-            counts = Counter()
-    if counts:
-        yield out(counts)
+def unsqueeze(blob: bytes) -> tuple[np.ndarray, np.ndarray]:
+    wide = np.ascontiguousarray(np.frombuffer(zstandard.decompress(blob), np.uint8).reshape(8, -1).T).view(np.int64)[:, 0]
+    return np.cumsum(wide[: len(wide) // 2]), wide[len(wide) // 2 :]
 
 
-def _segments(rows: DataFrame, build, folder: str) -> list[Segment]:
-    """One segment a partition of sorted rows (key, n): build() makes (first, n, arrays, sizes) of their keys and counts."""
+class Sums:
+    """Counts by key that are merged whenever what is new outgrows what is there, so that memory is bounded by the different keys."""
 
-    def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
-        parts = [(b.column(0).to_numpy(zero_copy_only=False), b.column(1).to_numpy(zero_copy_only=False)) for b in batches if b.num_rows]
-        if parts:
-            first, n, arrays, size = build(np.concatenate([p[0] for p in parts]), np.concatenate([p[1] for p in parts]))
-            path, layout = save(folder, arrays)
-            yield pa.RecordBatch.from_pydict({"first": [str(first)], "n": [n], "path": [path], "parts": [repr(layout)], "size": [repr(size)]})
+    def __init__(self) -> None:
+        self.keys, self.times = np.zeros(0, np.int64), np.zeros(0, np.int64)
+        self.new: list[tuple[np.ndarray, np.ndarray]] = []
+        self.size = 0
+
+    def add(self, keys: np.ndarray, times: np.ndarray) -> None:
+        self.new.append((keys, times))
+        self.size += len(keys)
+        if self.size > max(MERGED, len(self.keys)):
+            self.merge()
+
+    def merge(self) -> tuple[np.ndarray, np.ndarray]:
+        if self.new:
+            keys = np.concatenate([self.keys, *(k for k, _ in self.new)])
+            times = np.concatenate([self.times, *(t for _, t in self.new)])
+            order = np.argsort(keys, kind="stable")  # of ascending runs
+            keys = keys[order]
+            first = np.flatnonzero(np.r_[True, keys[1:] != keys[:-1]]) if len(keys) else np.zeros(0, np.int64)
+            self.keys, self.times = keys[first], np.add.reduceat(times[order], first) if len(first) else times
+            self.new, self.size = [], 0
+        return self.keys, self.times
+
+    def split(self, starts: np.ndarray) -> pa.RecordBatch:
+        """(range, counts): what there is, cut at the ranges' first keys."""
+        keys, times = self.merge()
+        cut = np.r_[np.searchsorted(keys, starts), len(keys)]
+        some = np.flatnonzero(cut[1:] > cut[:-1])
+        blobs = [squeeze(keys[cut[i] : cut[i + 1]], times[cut[i] : cut[i + 1]]) for i in some]
+        return pa.RecordBatch.from_arrays([pa.array(some, pa.int64()), pa.array(blobs, pa.binary())], names=["range", "counts"])
+
+
+COUNTS = "range long, counts binary"
+
+
+SEGMENTS = "first string, n long, path string, parts string, size string"
 
-    found = rows.mapInArrow(run, "first string, n long, path string, parts string, size string").collect()  # one small row a segment
+
+def _saved(first: int, n: int, arrays: dict[str, np.ndarray], size: dict[str, int], folder: str) -> pa.RecordBatch:
+    """The row of a segment that is written to the folder."""
+    path, layout = save(folder, arrays)
+    return pa.RecordBatch.from_pydict({"first": [str(first)], "n": [n], "path": [path], "parts": [repr(layout)], "size": [repr(size)]})
+
+
+def _listed(rows: DataFrame) -> list[Segment]:
+    """Segments in their order; one small row each reaches the driver."""
     out, base = [], 0
-    for r in sorted(found, key=lambda r: int(r.first)):
+    for r in sorted(rows.collect(), key=lambda r: int(r.first)):
         out.append(Segment(int(r.first), base, r.n, r.path, ast.literal_eval(r.parts), ast.literal_eval(r.size)))
         base += r.n
     return out
 
 
+def _merged(counts: DataFrame, ranges: int, build, folder: str) -> list[Segment]:
+    """A segment for each range of counts that build() makes something of: (first, n, arrays, sizes) or nothing."""
+
+    def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+        sums, at = Sums(), None
+
+        def out() -> Iterator[pa.RecordBatch]:
+            if len(sums.merge()[0]) and (made := build(sums.keys, sums.times)):
+                yield _saved(*made, folder)
+
+        for batch in batches:
+            for i, blob in zip(batch.column(0).to_pylist(), batch.column(1), strict=True):
+                if i != at:
+                    yield from out()
+                    sums, at = Sums(), i
+                sums.add(*unsqueeze(blob.as_buffer()))
+        yield from out()
+
+    return _listed(counts.repartition(ranges, "range").sortWithinPartitions("range").mapInArrow(run, SEGMENTS))
+
+
 def _build_words(keys: np.ndarray, n: np.ndarray):
     codes = unsigned(keys)
     s = EliasFano.of(codes, 1 << 64)
     kind = np.uint32 if n.max() < 1 << 32 else np.int64
-    return int(codes[0]), len(codes), _sequence_arrays("hash", s) | {"count": n.astype(kind)}, {"hash": s.width}
+    end = n[keys == signed(np.array([code(END)], U))]
+    return int(codes[0]), len(codes), _sequence_arrays("hash", s) | {"count": n.astype(kind)}, {"hash": s.width, "tokens": int(n.sum()), "ends": int(end.sum())}
 
 
 def train(docs: DataFrame, order: int = ORDER, share: float = SHARE, least: int = LEAST) -> Model:
@@ -374,12 +427,35 @@ def train_words(docs: DataFrame, share: float = SHARE, least: int = LEAST) -> tu
     spark: SparkSession = docs.sparkSession
     folder = scratch(spark, "ngram")
     docs = docs.select("text")
-    counts = cut_lineage(docs.mapInArrow(_word_counts, "key long, n long").groupBy("key").agg(F.sum("n").alias("n")))
-    total, distinct, ends = counts.agg(F.sum("n"), F.count("*"), F.max(F.when(F.col("key") == int(signed(np.array([code(END)], U))[0]), F.col("n")))).first()
+    ranges = max(1, docs.rdd.getNumPartitions())  # a range has about as many words as a split of the input
+    starts = np.array([(i << 64) // ranges - (1 << 63) for i in range(ranges)], np.int64)
+
+    def count(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+        sums, counts = Sums(), Counter()
+
+        def add() -> None:
+            codes = signed(np.fromiter(map(code, counts), U, len(counts)))
+            order = np.argsort(codes)
+            sums.add(codes[order], np.fromiter(counts.values(), np.int64, len(counts))[order])
+            counts.clear()
+
+        for batch in batches:
+            for t in texts(batch):
+                counts.update(tokens(t))
+            counts[END] += batch.num_rows
+            if len(counts) > REMEMBERED:
+                add()
+                if len(sums.keys) > 2 * MERGED:
+                    yield sums.split(starts)
+                    sums = Sums()
+        add()
+        yield sums.split(starts)
+
+    words = Level(_merged(docs.mapInArrow(count, COUNTS), ranges, _build_words, folder))
+    total, ends = (sum(s.size[k] for s in words.segments) for k in ("tokens", "ends"))
+    distinct = sum(s.n for s in words.segments)
     if not distinct:
         return Model(0, 0, 0, 0, []), folder
-    parts = max(1, -(-distinct // SEGMENT))
-    words = Level(_segments(counts.repartitionByRange(parts, "key").sortWithinPartitions("key"), _build_words, folder))
     return Model(total, distinct, ends, max(least, share * total), [words]), folder
 
 
@@ -410,15 +486,22 @@ def train_levels(encoded: DataFrame, model: Model, folder: str, order: int, leas
 
 
 def _level(encoded: DataFrame, model: Model, n: int, least: int, folder: str) -> Level:
-    """Level n from encoded texts and the levels below; its n-grams' beginnings and ends are n-grams of the level below."""
+    """Level n from encoded texts and the levels below; its n-grams' beginnings and ends are n-grams of the level below.
+
+    Tasks count n-grams, and send their counts as compressed runs to the ranges of contexts that they belong to; a range is merged by
+    one task and becomes a segment. There is a range for every RAW training tokens.
+    """
     wide = model.begin + 1
+    contexts = wide if n == 2 else sum(s.n for s in model.levels[n - 2].segments)
+    ranges = max(1, -(-model.total // RAW))
+    starts = np.array([-(-i * contexts // ranges) for i in range(ranges)], np.int64) * wide  # first key of each range
     shared = encoded.sparkSession.sparkContext.broadcast(model)  # the lists of segments
 
     def count(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         m: Model = shared.value
+        sums = Sums()
         for batch in batches:
             codes = batch.column(0).to_pylist()
-            found = [np.zeros(0, np.int64)]
             for a, b in pieces([len(c) for c in codes], CHARS_AT_ONCE):
                 number, begins = m.decode(codes[a:b])
                 if n == 2:
@@ -429,17 +512,19 @@ def _level(encoded: DataFrame, model: Model, n: int, least: int, folder: str) ->
                     before, ok = np.r_[-1, here[:-1]], here >= 0
                     before[begins] = -1
                 ok &= before >= 0
-                found.append(before[ok] * wide + number[ok])
-            keys, times = np.unique(np.concatenate(found), return_counts=True)
-            yield pa.RecordBatch.from_arrays([pa.array(keys), pa.array(times)], names=["key", "n"])
-
-    counts = encoded.mapInArrow(count, "key long, n long").groupBy("key").agg(F.sum("n").alias("n")).where(F.col("n") >= least)
-    counts = cut_lineage(counts.withColumn("context", F.expr(f"key div {wide}")))
-    rows = counts.count()
-    parts = max(1, -(-rows // SEGMENT))
+                keys = np.sort(before[ok] * wide + number[ok])
+                first = np.flatnonzero(np.r_[True, keys[1:] != keys[:-1]]) if len(keys) else np.zeros(0, np.int64)
+                sums.add(keys[first], np.diff(np.r_[first, len(keys)]))
+                if len(sums.keys) > 2 * MERGED:
+                    yield sums.split(starts)
+                    sums = Sums()
+        yield sums.split(starts)
 
     def build(keys: np.ndarray, times: np.ndarray):
         m: Model = shared.value
+        keys, times = keys[times >= least], times[times >= least]
+        if not len(keys):
+            return None
         context, word = keys // wide, keys % wide
         first, number = int(context[0]), int(context[-1] - context[0] + 1)
         own = context - first
@@ -447,31 +532,21 @@ def _level(encoded: DataFrame, model: Model, n: int, least: int, folder: str) ->
             ids = np.arange(first, first + number)
             whole = np.where(ids < m.begin, m.levels[0].take("count", np.minimum(ids, m.begin - 1)), m.docs)
             lower = m.base_log(m.levels[0].take("count", word))
+            last = word.astype(np.int64)
         else:
             whole = m.levels[n - 2].take("count", np.arange(first, first + number))
             # The lower order's probability: of the n-gram without its first word.
-            lower = _lower(m, n, context, word)
+            last = m.levels[n - 2].find(m.levels[n - 2].take("last", context).astype(np.int64), word)
+            lower = restore(m.levels[n - 2].take("log", last))
         part = (times - DISCOUNT) / whole[own]
         left = np.clip(1 - np.bincount(own, part, number), 1e-12, 1)
         log = np.log10(part + left[own] * 10**lower)
         pointer = EliasFano.of(np.searchsorted(own, np.arange(number + 1)), len(keys) + 1)
         width = int(wide).bit_length()
-        arrays = _sequence_arrays("pointer", pointer) | {"word": pack(word.astype(U), width), "log": quantise(log), "weight": quantise(np.log10(left)), "count": times.astype(np.int64), "last": _last(m, n, context, word)}
+        arrays = _sequence_arrays("pointer", pointer) | {"word": pack(word.astype(U), width), "log": quantise(log), "weight": quantise(np.log10(left)), "count": times.astype(np.int64), "last": last}
         return first, len(keys), arrays, {"contexts": number, "pointer": pointer.width, "word": width}
 
-    ordered = counts.repartitionByRange(parts, "context").sortWithinPartitions("key").select("key", "n")
-    return Level(_segments(ordered, build, folder))
-
-
-def _last(m: Model, n: int, context: np.ndarray, word: np.ndarray) -> np.ndarray:
-    """For each n-gram the number, in the level below, of it without its first word."""
-    if n == 2:
-        return word.astype(np.int64)
-    return m.levels[n - 2].find(m.levels[n - 2].take("last", context).astype(np.int64), word)
-
-
-def _lower(m: Model, n: int, context: np.ndarray, word: np.ndarray) -> np.ndarray:
-    return restore(m.levels[n - 2].take("log", _last(m, n, context, word)))
+    return Level(_merged(encoded.mapInArrow(count, COUNTS), ranges, build, folder))
 
 
 def score_encoded(encoded: DataFrame, model: Model, keep: list[str]) -> DataFrame:
