@@ -22,7 +22,7 @@ import ast
 import functools
 import os
 import uuid
-from collections import Counter
+from collections import Counter, OrderedDict
 from collections.abc import Iterator
 from dataclasses import dataclass, field
 from itertools import chain, repeat
@@ -48,6 +48,8 @@ LOWEST = -16.0
 REMEMBERED, CHARS_AT_ONCE = 600_000, 1 << 21
 #: Contexts of a segment whose pointers a worker keeps decoded (8 bytes each).
 DECODED = 1 << 17
+#: Bytes of segments that a worker keeps where they can't be mapped.
+READ = 1 << 28
 #: Training tokens for each segment of a higher level; keys that are merged at once.
 RAW, MERGED = 1 << 22, 1 << 20
 
@@ -104,17 +106,29 @@ def save(folder: str, arrays: dict[str, np.ndarray]) -> tuple[str, list]:
     return path, parts
 
 
+_read: OrderedDict[str, np.ndarray] = OrderedDict()  # segments that a worker has in memory, the last used at the end
+
+
 @functools.lru_cache(maxsize=4096)
+def _mapped(path: str) -> np.ndarray:
+    return np.memmap(path, np.uint8, "r")
+
+
 def load(path: str) -> np.ndarray:
-    """A segment's bytes, mapped into memory (read whole where the shared folder is no file system)."""
+    """A segment's bytes, mapped into memory; read whole where the shared folder is no file system, of which a worker keeps READ bytes."""
     if (local := _local(path)) is not None:
-        return np.memmap(local, np.uint8, "r")
-    fs, inner = pyarrow.fs.FileSystem.from_uri(path)
-    with fs.open_input_file(inner) as f:
-        return np.frombuffer(f.read(), np.uint8)
+        return _mapped(local)
+    if path not in _read:
+        fs, inner = pyarrow.fs.FileSystem.from_uri(path)
+        with fs.open_input_file(inner) as f:
+            _read[path] = np.frombuffer(f.read(), np.uint8)
+        while len(_read) > 1 and sum(a.nbytes for a in _read.values()) > READ:
+            _read.popitem(last=False)
+    _read.move_to_end(path)
+    return _read[path]
 
 
-@functools.lru_cache(maxsize=16)
+@functools.lru_cache(maxsize=64)
 def decoded(path: str, n: int, segment: Segment) -> np.ndarray:
     """All pointers of a segment with few contexts."""
     return segment.sequence("pointer", n + 1).get(np.arange(n + 1)).astype(np.int64)
@@ -159,12 +173,27 @@ class Level:
 
     segments: list[Segment] = field(default_factory=list)
 
+    @functools.cached_property
+    def firsts(self) -> np.ndarray:
+        kind = np.int64 if all(s.first < 1 << 63 for s in self.segments) else U
+        return np.array([s.first for s in self.segments], kind)
+
+    @functools.cached_property
+    def bases(self) -> np.ndarray:
+        return np.array([s.base for s in self.segments], np.int64)
+
+    def _deal(self, of: np.ndarray) -> Iterator[tuple[Segment, np.ndarray]]:
+        """Segments that occur in `of`, and where, by one sort whatever their number."""
+        order = np.argsort(of.astype(np.int16) if len(self.segments) < 1 << 15 else of, kind="stable")
+        some, begin = np.unique(of[order], return_index=True)
+        for i, a, b in zip(some.tolist(), begin.tolist(), [*begin[1:].tolist(), len(of)], strict=True):
+            if i >= 0:
+                yield self.segments[i], order[a:b]
+
     def split(self, keys: np.ndarray) -> Iterator[tuple[Segment, np.ndarray]]:
         """Each segment and which of the keys belong to it."""
         if self.segments and len(keys):
-            of = np.searchsorted(np.array([s.first for s in self.segments], keys.dtype), keys, "right") - 1
-            for i in np.unique(of[of >= 0]):
-                yield self.segments[i], np.flatnonzero(of == i)
+            yield from self._deal(np.searchsorted(self.firsts.astype(keys.dtype), keys, "right") - 1)
 
     def words(self, codes: np.ndarray) -> tuple[np.ndarray, np.ndarray]:
         """Level 1: numbers of words by their hashes, -1 where absent, and exact counts."""
@@ -192,10 +221,8 @@ class Level:
         """Values of n-grams by their numbers."""
         out = np.zeros(len(number), np.float64)
         if self.segments and len(number):
-            of = np.searchsorted(np.array([s.base for s in self.segments]), number, "right") - 1
-            for i in np.unique(of):
-                at = np.flatnonzero(of == i)
-                out[at] = self.segments[i].array(name)[number[at] - self.segments[i].base]
+            for s, at in self._deal(np.searchsorted(self.bases, number, "right") - 1):
+                out[at] = s.array(name)[number[at] - s.base]
         return out
 
     def weights(self, context: np.ndarray) -> np.ndarray:

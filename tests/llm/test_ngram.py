@@ -133,3 +133,35 @@ def test_model_broadcasts_no_words(spark):
 
     sizes = [len(pickle.dumps(ngram.train(spark.createDataFrame([(" ".join(f"w{i % n}" for i in range(3 * n)),)], "text string")))) for n in (100, 20_000)]
     assert sizes[1] < 2 * sizes[0]
+
+
+def test_many_segments_and_remote_folder(spark, monkeypatch):
+    """A model of many small segments, read from a path that can't be mapped and kept within a bound, gives what one segment gives."""
+    rows = [(i, " ".join(f"w{(i * j) % 23}" for j in range(1, 40))) for i in range(200)]
+    docs = spark.createDataFrame(rows, "doc_id long, text string")
+    want = {r.doc_id: r.score for r in ngram.score_held_out(docs).collect()}
+    monkeypatch.setattr(ngram, "RAW", 100)
+    model = ngram.train(docs)
+    assert all(len(x.segments) > 3 for x in model.levels)
+    texts = [t for _, t in rows]
+    monkeypatch.setattr(ngram, "_local", lambda path: None)
+    monkeypatch.setattr(ngram, "READ", 2000)
+    for x in model.levels:
+        for s in x.segments:
+            s.path = "file://" + s.path.removeprefix("file://").removeprefix("file:")
+    found = model.encode(texts)
+    scores = model.score([c for *_, c in found], np.array([b for _, _, b, _ in found]))
+    monkeypatch.undo()
+    whole = ngram.train(docs)
+    found = whole.encode(texts)
+    assert np.allclose(scores, whole.score([c for *_, c in found], np.array([b for _, _, b, _ in found])))
+    sizes = [a.nbytes for a in ngram._read.values()]
+    assert len(want) == 200 and sum(sizes) <= max(2000, sizes[-1])
+
+
+def test_rare_trigram_is_in_the_model(spark):
+    """Words of two occurrences among many others take part in n-grams, whatever the corpus's size."""
+    docs = spark.createDataFrame([(i, "common words here " * 300) for i in range(40)] + [(i, "zyx wvu tsr") for i in (100, 101)], "doc_id long, text string")
+    model = ngram.train(docs)
+    _, _, base, codes = model.encode(["zyx wvu tsr"])[0]
+    assert model.score([codes], np.array([base]))[0] > base + 3
