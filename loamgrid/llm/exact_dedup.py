@@ -30,6 +30,7 @@ PREFIX = 64
 HOT = 1000
 FOLDED = [T.StructField("_ids", T.ArrayType(T.LongType())), T.StructField("_most", T.LongType()), T.StructField("_prefix", T.BinaryType()), T.StructField("_hash", T.LongType()), T.StructField("_turn", T.LongType())]
 RUN = [T.StructField("row_no", T.LongType()), T.StructField("text_sha256", T.StringType()), T.StructField("first", T.BooleanType())]
+OWN = (*(f.name for f in FOLDED + RUN), "_top")
 
 
 def normalise(text: str | None) -> bytes:
@@ -79,8 +80,7 @@ def _compare(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
 
 def runs(docs: DataFrame) -> DataFrame:
     """A row for each batch's group of equal texts: docs' columns (of the row with the largest id), the group's ids, its place in a run."""
-    own = [f.name for f in FOLDED + RUN]
-    docs = docs.select("doc_id", "text", *others(docs, "doc_id", "text", *own)).withColumn("doc_id", F.col("doc_id").cast("long"))
+    docs = docs.select("doc_id", "text", *others(docs, "doc_id", "text", *OWN)).withColumn("doc_id", F.col("doc_id").cast("long"))
     folded = docs.mapInArrow(_fold, T.StructType([*docs.schema.fields, *FOLDED]))
     ordered = folded.repartitionByRange("_prefix", "_hash", "_turn").sortWithinPartitions(F.col("_prefix"), F.col("_hash"), F.col("_most").desc(), F.col("_turn"))
     return ordered.mapInArrow(_compare, T.StructType([*folded.schema.fields, *RUN]))
@@ -111,8 +111,7 @@ def exact_groups(docs: DataFrame) -> DataFrame:
 def exact_dedup(docs: DataFrame) -> DataFrame:
     """The rows of docs that stay, with docs' columns; a column named like one of this operator's own (row_no, first, ...) goes. Rows
     that begin a run are kept in the shared folder; of a run that splitters have cut, the part with the largest id counts."""
-    own = [*(f.name for f in FOLDED + RUN), "_top"]
     found = cut_lineage(runs(docs.drop("_top")).where("first").drop("_ids", "_prefix", "_hash", "_turn", "first"))
     cut = found.groupBy("text_sha256").agg(F.count("*").alias("n"), top()).where("n > 1").select("text_sha256", F.col("top.row").alias("_top"))
     joined = found.join(F.broadcast(cut), "text_sha256", "left")  # a splitter cuts one run at most, so there are fewer than partitions
-    return joined.where("_top IS NULL OR row_no = -_top").select(*[c for c in docs.columns if c in ("doc_id", "text") or c in others(docs, *own)])
+    return joined.where("_top IS NULL OR row_no = -_top").select(*[c for c in docs.columns if c in ("doc_id", "text") or c in others(docs, *OWN)])

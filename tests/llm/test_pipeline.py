@@ -4,9 +4,10 @@ import pytest
 from tokenizers import Tokenizer
 
 import corpus_pipeline
-from loamgrid.llm import langid, toxicity
+from loamgrid.llm import langid, stages, toxicity
 from tests.llm.test_bpe_packing import PATH, check_pieces, library_ids
-from tests.llm.test_dedup import lower, slow_components, slow_print
+from tests.llm.test_dedup import lower
+from tests.llm.test_similar import slow_similar
 
 MEDIUM = "/root/testdata/sf0.01"
 
@@ -38,7 +39,7 @@ def test_language_stage(outputs):
     model = langid.fit(outputs[0])
     for r in outputs[0].collect():
         lang, score = model.predict([r.text or ""])[0]
-        assert (r.doc_id in kept) == (lang != "und" and score >= 0.35)
+        assert (r.doc_id in kept) == (lang != "und" and score >= stages.MAIN_LANGUAGE)
     assert not kept & {50_001, 50_002, 50_003}
 
 
@@ -60,9 +61,27 @@ def test_exact_stage(outputs):
 
 
 def test_near_stage(outputs):
-    prints = [(r.doc_id, slow_print(r.text)) for r in outputs[3].collect()]
-    least = slow_components(prints)
-    assert sorted(r.doc_id for r in outputs[4].collect()) == sorted(set(least.values()))
+    """One document of each group of five-word shingle sets linked at a Jaccard similarity of 0.8, by all pairs."""
+    groups = slow_similar([(r.doc_id, r.text) for r in outputs[3].collect()])
+    assert sorted(r.doc_id for r in outputs[4].collect()) == sorted({c for _, c in groups})
+
+
+def test_mixed_languages_go(spark, outputs):
+    """A text made of three languages by equal parts has no main language; each part alone has."""
+    pick = {lang: outputs[0].where(f"lang = '{lang}' AND length(text) > 600").orderBy("doc_id").first().text[:400] for lang in ("de", "fr", "en")}
+    docs = spark.createDataFrame([(1, " ".join(pick.values()), None, None, 0), *((i, t, None, None, 0) for i, t in enumerate(pick.values(), 2))], outputs[0].schema)
+    found = langid.identify(docs, langid.fit(outputs[0]), ["doc_id"]).where(f"lang_pred <> 'und' AND score >= {stages.MAIN_LANGUAGE}")
+    assert sorted(r.doc_id for r in found.collect()) == [2, 3, 4]
+
+
+@pytest.mark.parametrize("name", [n for n, _ in corpus_pipeline.STAGES])
+def test_stages_on_empty_tables_and_clashing_columns(spark, outputs, name):
+    stage = dict(corpus_pipeline.STAGES)[name]
+    assert stage(spark, outputs[0].limit(0), MEDIUM).count() == 0
+    clash = outputs[0].limit(300)
+    for c in ("score", "predicted", "_keep", "keys", "first", "ids", "held_out", "_hash", "node"):
+        clash = clash.withColumn(c, outputs[0].doc_id)
+    assert stage(spark, clash, MEDIUM).count() > 0
 
 
 def test_packing_stage(outputs):
