@@ -66,6 +66,19 @@ def ring_centroid(ring) -> Column:
     return F.when(t["a"] != 0, point(t["x"] / (3 * t["a"]), t["y"] / (3 * t["a"]))).otherwise(point(mean("x"), mean("y")))
 
 
+def polygon_centroid(polygon) -> Column:
+    """Area-weighted centroid of a polygon, less its holes; the mean of the exterior's vertices if it has no area. Sums run from the
+    first vertex, so that large coordinates lose no digits."""
+    p = _c(polygon)
+    o = p[0][0]
+    local = F.transform(p, lambda r: F.transform(r, lambda v: F.struct((v["x"] - o["x"]).alias("x"), (v["y"] - o["y"]).alias("y"))))
+    weights = F.transform(local, lambda r, i: F.struct((F.abs(signed_ring_area(r)) * F.when(i == 0, 1.0).otherwise(-1.0)).alias("a"), ring_centroid(r).alias("c")))
+    total = F.aggregate(weights, F.lit(0.0), lambda s, w: s + w["a"])
+    mean = lambda k: F.aggregate(weights, F.lit(0.0), lambda s, w: s + w["a"] * w["c"][k]) / F.when(total != 0, total)
+    plain = ring_centroid(local[0])
+    return point(o["x"] + F.coalesce(mean("x"), plain["x"]), o["y"] + F.coalesce(mean("y"), plain["y"]))
+
+
 def bounds(path, prefix: str = "") -> list[Column]:
     """xmin, ymin, xmax, ymax of a line or ring."""
     p = _c(path)

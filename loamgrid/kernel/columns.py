@@ -67,12 +67,57 @@ def is_valid(geom: pa.Array) -> pa.Array:
     return pa.array([planar.is_valid(to_polygon(g)) for g in geom.to_pylist()], pa.bool_())
 
 
+def _reason(polygon: planar.Polygon) -> str | None:
+    if not polygon:
+        return "empty"
+    if any(len(np.unique(r, axis=0)) < 3 for r in polygon):
+        return "too few points"
+    if any((r[0] != r[-1]).any() for r in polygon):
+        return "ring not closed"
+    return None if planar.is_valid(polygon) else "self-intersection"
+
+
+@F.arrow_udf(T.StringType())
+def invalid_reason(geom: pa.Array) -> pa.Array:
+    """Why a polygon isn't valid; null if it is, and for null."""
+    return pa.array([None if g is None else _reason(to_polygon(g)) for g in geom.to_pylist()], pa.string())
+
+
 @F.arrow_udf(T.BooleanType())
 def intersects(a: pa.Array, b: pa.Array) -> pa.Array:
     """Whether two polygons share a point: an exact test for pairs that a grid join has found."""
     return pa.array([bool(len(planar.meet([to_polygon(x)], [to_polygon(y)]))) for x, y in zip(a.to_pylist(), b.to_pylist(), strict=True)], pa.bool_())
 
 
+@F.arrow_udf(T.DoubleType())
+def shared_area(a: pa.Array, b: pa.Array) -> pa.Array:
+    """Area that two polygons have in common; null for null."""
+    pairs = zip(a.to_pylist(), b.to_pylist(), strict=True)
+    return pa.array([None if x is None or y is None else float(sum(planar.area(p) for p in planar.intersection([to_polygon(x)], [to_polygon(y)]))) for x, y in pairs], pa.float64())
+
+
+def _relation(test):
+    """A Boolean function of two polygons; null for null."""
+
+    @F.arrow_udf(T.BooleanType())
+    def related(a: pa.Array, b: pa.Array) -> pa.Array:
+        return pa.array([None if x is None or y is None else bool(test(to_polygon(x), to_polygon(y))) for x, y in zip(a.to_pylist(), b.to_pylist(), strict=True)], pa.bool_())
+
+    return related
+
+
+def _shared(x: planar.Polygon, y: planar.Polygon) -> float:
+    return sum(planar.area(p) for p in planar.intersection([x], [y]))
+
+
+#: Areas that differ by less (m2, against the grid that overlays snap to) are equal.
+SLIVER = 1e-3
+#: Whether the first polygon lies in the second; whether they share border points only; whether they cover the same points.
+within = _relation(lambda x, y: abs(planar.area(x) - _shared(x, y)) <= SLIVER)
+touches = _relation(lambda x, y: len(planar.meet([x], [y])) and _shared(x, y) <= SLIVER)
+equals = _relation(lambda x, y: abs(planar.area(x) - planar.area(y)) <= SLIVER and abs(planar.area(x) - _shared(x, y)) <= SLIVER)
+
+
 @F.arrow_udf(POLYGON)
 def min_rectangle(geom: pa.Array) -> pa.Array:
     """Oriented rectangle of least area around each polygon; null for null."""

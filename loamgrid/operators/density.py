@@ -5,15 +5,18 @@ from __future__ import annotations
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
-from loamgrid.functions.geometry import rect_point_distance
+from loamgrid.functions.geometry import polygon_area, rect_point_distance
+from loamgrid.kernel.columns import shared_area
 from loamgrid.operators.spatial import pairs, semi, summary
 
 CELL = 200.0
 
 
 def area(df: DataFrame, name: str = "area") -> DataFrame:
-    """Adds the box's area where a layer has none (exact for axis-aligned rectangles)."""
-    return df if name in df.columns else df.withColumn(name, (F.col("xmax") - F.col("xmin")) * (F.col("ymax") - F.col("ymin")))
+    """Adds the area of `geom` where a layer has none; of the box only where there is no geometry."""
+    if name in df.columns:
+        return df
+    return df.withColumn(name, polygon_area("geom") if "geom" in df.columns else (F.col("xmax") - F.col("xmin")) * (F.col("ymax") - F.col("ymin")))
 
 
 def building_counts(blocks: DataFrame, buildings: DataFrame, key: list[str] | None = None, on=("pid",), refine=None) -> DataFrame:
@@ -35,11 +38,16 @@ def dense_blocks(blocks: DataFrame, buildings: DataFrame, threshold: float = 18.
 
 
 def clip_pairs(blocks: DataFrame, buildings: DataFrame, on=("pid",)) -> DataFrame:
-    """Pairs of blocks and buildings with the area of their common rectangle (touching pairs have 0)."""
+    """Pairs of blocks and buildings with the area that they share (touching pairs have 0). Pairs whose geometries fill their boxes have a
+    closed form; the kernel works out the others."""
     met = pairs(buildings, blocks, CELL, on=on)
     w = F.least("l_xmax", "r_xmax") - F.greatest("l_xmin", "r_xmin")
     h = F.least("l_ymax", "r_ymax") - F.greatest("l_ymin", "r_ymin")
-    return met.withColumn("clip_area", w * h)
+    if "geom" not in blocks.columns or "geom" not in buildings.columns:
+        return met.withColumn("clip_area", w * h)
+    box = lambda s: polygon_area(s + "geom") == (F.col(s + "xmax") - F.col(s + "xmin")) * (F.col(s + "ymax") - F.col(s + "ymin"))
+    both = box("l_") & box("r_")
+    return met.where(both).withColumn("clip_area", w * h).union(met.where(~both).withColumn("clip_area", shared_area("l_geom", "r_geom")))
 
 
 def footprint_density(blocks: DataFrame, buildings: DataFrame, on=("pid",)) -> DataFrame:
@@ -50,9 +58,13 @@ def footprint_density(blocks: DataFrame, buildings: DataFrame, on=("pid",)) -> D
     return a.join(sums, "block_id").select("block_id", *on, "sum_area_intersect", F.when(F.col("shape_area") > 0, F.col("sum_area_intersect") / F.col("shape_area") * 100).otherwise(0.0).alias("overlap"))
 
 
-def mean_density(density: DataFrame, by: list[str], threshold: float = 18.0, least: int = 5) -> DataFrame:
-    """Mean overlap for each group if it has more than `least` blocks, else the threshold."""
+def mean_density(density: DataFrame, by: list[str], threshold: float = 18.0, least: int = 5, blocks: DataFrame | None = None) -> DataFrame:
+    """Mean overlap for each group if it has more than `least` blocks, else the threshold. blocks: all of the groups' blocks, which
+    count with 0 if density has no row of theirs."""
     out = density.groupBy(*by).agg(F.count("*").alias("n_blocks"), F.avg("overlap").alias("_mean"))
+    if blocks is not None:
+        every = blocks.groupBy(*by).agg(F.count("*").alias("_all"))
+        out = every.join(out, by, "left").select(*by, F.col("_all").alias("n_blocks"), (F.coalesce(F.col("_mean") * F.col("n_blocks"), F.lit(0.0)) / F.col("_all")).alias("_mean"))
     return out.withColumn("density", F.when(F.col("n_blocks") > least, F.col("_mean")).otherwise(threshold)).drop("_mean")
 
 

@@ -105,7 +105,8 @@ def inner_faces(layers: Layers) -> Rows:
 
 
 def block_density(least: int = 20) -> Callable[[Layers], Rows]:
-    """Inner blocks that more than `least` buildings touch; value: percent of the block that buildings, clipped to it, cover."""
+    """Inner blocks that more than `least` buildings touch; value: percent of the block that buildings, clipped to it, cover (0 if they
+    share its border only)."""
 
     def stage(layers: Layers) -> Rows:
         faces, buildings = stages.inner_blocks(lines(layers, "roads"), polygons(layers, "buildings")), polygons(layers, "buildings")
@@ -115,9 +116,8 @@ def block_density(least: int = 20) -> Callable[[Layers], Rows]:
             mine = [buildings[j] for j in pair[pair[:, 0] == i, 1]]
             if len(mine) > least:
                 covered = sum(planar.area(p) for b in mine for p in planar.intersection([b], [faces[i]]))
-                if covered:
-                    out.append(faces[i])
-                    values.append(100 * covered / planar.area(faces[i]))
+                out.append(faces[i])
+                values.append(100 * covered / planar.area(faces[i]))
         return numbered("block", out, values)
 
     return stage
@@ -133,18 +133,26 @@ def spanning_tree(layers: Layers) -> Rows:
         yield "edge", a, w, [np.array([centres[at[a]], centres[at[b]]])]
 
 
-def cluster(buildings: list[tuple[int, float, planar.Polygon]], streets: np.ndarray, ratio: float) -> list[planar.Polygon]:
-    """Oriented rectangles of the clusters of buildings."""
+def forest(buildings: list[tuple[int, float, planar.Polygon]], streets: np.ndarray) -> list[tuple[int, int, float]]:
+    """The spanning forest's edges: smaller id, larger id, weight."""
     centres = np.array([centroid(p) for _, _, p in buildings]).reshape(-1, 2)
-    tree = graph.spanning_forest([f for f, _, _ in buildings], [p for _, _, p in buildings], centres, streets)
+    return [(min(u, v), max(u, v), w) for u, v, w in graph.spanning_forest([f for f, _, _ in buildings], [p for _, _, p in buildings], centres, streets)]
+
+
+def cluster(buildings: list[tuple[int, float, planar.Polygon]], tree: list[tuple[int, int, float]], ratio: float) -> list[planar.Polygon]:
+    """Oriented rectangles of the clusters of buildings along their spanning forest."""
     edges = {f: graph.outline_edges(p) for f, _, p in buildings}
-    found = graph.clusters(edges, {f: planar.area(p) for f, _, p in buildings}, [(min(u, v), max(u, v), w) for u, v, w in tree], ratio)
+    found = graph.clusters(edges, {f: planar.area(p) for f, _, p in buildings}, tree, ratio)
     boxes = [graph.oriented_rectangle(np.concatenate([edges[m] for m in members]))[0] for members in found]
     return [p for b in boxes if b is not None and (p := planar.oriented([b]))]
 
 
 def clusters(ratio: float = 18.0) -> Callable[[Layers], Rows]:
-    return lambda layers: numbered("cluster", cluster(layers.get("buildings", []), lines(layers, "streets"), ratio))
+    def stage(layers: Layers) -> Rows:
+        mine = layers.get("buildings", [])
+        return numbered("cluster", cluster(mine, forest(mine, lines(layers, "streets")), ratio))
+
+    return stage
 
 
 def singles(buildings: list[planar.Polygon], groups: list[planar.Polygon], least: float = 300.0) -> list[planar.Polygon]:
@@ -156,40 +164,52 @@ def singles(buildings: list[planar.Polygon], groups: list[planar.Polygon], least
     return [[planar.min_area_rectangle(b[0])] for b in near if planar.area(b) > least]
 
 
-def settlement(density: float = 18.0, least_cover: float = 18.0, most_hole: float = 10_000.0, most_gap: float = 4_900.0) -> Callable[[Layers], Rows]:
-    """From a partition's outline, filtered buildings, roads, barriers and streets to its settlement polygons.
+def settlement(least_cover: float = 18.0, most_hole: float = 10_000.0, most_gap: float = 4_900.0) -> Callable[[Layers], Rows]:
+    """From a partition's outline (value: its coverage), buildings that roads have cut (split), the filtered of these (buildings), roads,
+    barriers and streets to its settlement polygons.
 
-    Blocks; dense ones leave the path; the other buildings are clustered at the ratio `density`, large single ones added, groups
-    drawn out to roads; with the dense blocks they are eroded and their gaps closed. value: area.
+    Blocks hold a split building each; dense ones leave the path; the filtered buildings outside them are clustered at the partition's
+    coverage, large single ones added, groups drawn out to roads; with the dense blocks they are eroded and their gaps closed.
+    Without a spanning tree there is nothing. value: area.
     """
 
     def stage(layers: Layers) -> Rows:
-        part = polygons(layers, "part")
-        every = layers.get("buildings", [])
+        part, every = layers.get("part", []), polygons(layers, "split")
         if not part or not every:
             return []
-        roads = lines(layers, "roads", "barriers")
-        cut = []
-        for f, _, p in every:  # buildings that roads cross fall apart
-            hit = roads[np.unique(planar.meet([p], [r[None] for r in roads])[:, 1])] if len(roads) else roads
-            cut += [(f * 100 + k, None, q) for k, q in enumerate(planar.split(p, hit))] if len(hit) else [(f * 100, None, p)]
-        shapes = [p for _, _, p in cut]
-        blocks = stages.city_blocks(part[0], roads, shapes)
-        pair = planar.meet(blocks, shapes)
-        size = np.array([planar.area(p) for p in shapes])
-        cover = np.array([100 * size[pair[pair[:, 0] == i, 1]].sum() / planar.area(b) for i, b in enumerate(blocks)])
-        dense = [b for b, c in zip(blocks, cover, strict=True) if c >= least_cover]
-        inside = set(planar.meet(shapes, dense)[:, 0].tolist()) if dense else set()
-        outside = [c for i, c in enumerate(cut) if i not in inside]
-        groups = cluster(outside, lines(layers, "streets"), density) if len(outside) > 1 else []
-        groups = groups + singles([p for _, _, p in outside], groups)
-        caught = stages.edge_catch(groups, shapes, roads, blocks) if groups else []
-        merged = caught + dense
-        return numbered("settlement", stages.close_gaps(stages.erode(merged, shapes), blocks, most_hole, most_gap)) if merged else []
+        _, coverage, outline = part[0]
+        kept = layers.get("buildings", [])
+        shapes = [p for _, _, p in kept]
+        blocks = stages.city_blocks(outline, lines(layers, "roads", "barriers"), every)
+        dense = dense_of(blocks, shapes, least_cover)
+        inside = set(planar.meet(shapes, dense)[:, 0].tolist()) if dense and shapes else set()
+        outside = [c for i, c in enumerate(kept) if i not in inside]
+        tree = forest(outside, lines(layers, "streets")) if len(outside) > 1 else []
+        if not tree:
+            return []
+        groups = cluster(outside, tree, coverage)
+        alone = [p for _, _, p in outside]
+        groups = groups + singles(alone, groups)
+        merged = (stages.edge_catch(groups, alone, lines(layers, "roads"), blocks) if groups else []) + dense
+        return numbered("settlement", stages.close_gaps(stages.erode(merged, every), blocks, most_hole, most_gap)) if merged else []
 
     return stage
 
 
+def dense_of(blocks: list[planar.Polygon], shapes: list[planar.Polygon], least_cover: float) -> list[planar.Polygon]:
+    """Blocks of which the whole areas of the shapes that touch them are at least a percentage."""
+    if not blocks or not shapes:
+        return []
+    pair, size = planar.meet(blocks, shapes), np.array([planar.area(p) for p in shapes])
+    cover = 100 * np.bincount(pair[:, 0], size[pair[:, 1]], len(blocks)) / np.array([planar.area(b) for b in blocks])
+    return [b for b, c, n in zip(blocks, cover, np.bincount(pair[:, 0], minlength=len(blocks)), strict=True) if n and c >= least_cover]
+
+
+def caught(layers: Layers) -> Rows:
+    """Groups drawn out to the roads near buildings, within their blocks."""
+    return numbered("caught", stages.edge_catch(polygons(layers, "groups"), polygons(layers, "buildings"), lines(layers, "roads"), polygons(layers, "blocks")))
+
+
 def eroded(layers: Layers) -> Rows:
     return numbered("settlement", stages.erode(polygons(layers, "settlement"), polygons(layers, "buildings")))
 

@@ -7,6 +7,8 @@ from collections.abc import Callable
 from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 
+from loamgrid.functions.geometry import point, polygon_centroid, segments
+from loamgrid.kernel.columns import intersects
 from loamgrid.operators.components import connected_components
 from loamgrid.operators.density import area, building_counts, dense_blocks, kernel_density, zone_buildings
 from loamgrid.operators.filters import like_any
@@ -36,7 +38,7 @@ def touching_groups(layer: DataFrame, key: str = "fid", on=("pid",), size: float
 
 
 def residential_filter(buildings: DataFrame, codes: DataFrame, min_area: float = 57.0, single_area: float = 35.0, cell: float = 50.0, radius: float = 200.0, on=("pid",)) -> DataFrame:
-    """Buildings that pass the import filter, with group_id; rectangles, as the touching tests use boxes.
+    """Buildings that pass the import filter, with group_id. Where there are geometries, they decide what touches; else boxes do.
 
     Per partition with more than min_area rows: buildings with a negative code outside the residential zone go, with every building
     that touches one; of the rest, groups of touching buildings must cover more than min_area, and a building more than single_area.
@@ -49,14 +51,26 @@ def residential_filter(buildings: DataFrame, codes: DataFrame, min_area: float =
     full = F.coalesce(F.col("_pos"), F.lit(False)) & (F.col("_n") > min_area)
     tagged = cut_lineage(tagged.withColumn("_full", full).drop("_n", "_pos"))  # read several times from here on
     work, whole = tagged.where("_full").drop("_full"), tagged.where("NOT _full").drop("_full")
-    centres = positive.select(*on, ((F.col("xmin") + F.col("xmax")) / 2).alias("x"), ((F.col("ymin") + F.col("ymax")) / 2).alias("y"))
+    exact = (lambda: intersects("l_geom", "r_geom")) if "geom" in buildings.columns else None
+    c = polygon_centroid("geom") if exact else F.struct(((F.col("xmin") + F.col("xmax")) / 2).alias("x"), ((F.col("ymin") + F.col("ymax")) / 2).alias("y"))
+    centres = positive.select(*on, c.alias("c")).select(*on, "c.x", "c.y")
     zone = zone_buildings(work, kernel_density(centres, cell, radius, on), cell=cell, on=on)
     outside = like_any(work, codes.where("section = 'negative'")).join(zone.select("fid", *on), ["fid", *on], "left_anti")
-    left = anti(work, outside, ["fid", *on], 50.0, on=on)
-    grouped = touching_groups(area(left), on=on)
+    left = anti(work, outside, ["fid", *on], 50.0, on=on, refine=exact)
+    grouped = touching_groups(area(left), on=on, refine=exact)
     big = grouped.groupBy("group_id").agg(F.sum("area").alias("_sum")).where(F.col("_sum") > min_area).select("group_id")
     kept = grouped.join(big, "group_id", "left_semi").where(F.col("area") > single_area).drop("group_id", "area")
-    return touching_groups(merge_layers(kept, whole), on=on)
+    return touching_groups(merge_layers(kept, whole), on=on, refine=exact)
+
+
+def distinct_geometries(layer: DataFrame, key: str = "fid", on=("pid",)) -> DataFrame:
+    """Of rows with equal geometries the one with the smallest key: the same rings, whatever vertex they begin at and way round they
+    run. Null geometries stay."""
+    ends = lambda e: (point(e["x1"], e["y1"]), point(e["x2"], e["y2"]))
+    edges = F.flatten(F.transform("geom", lambda r: F.transform(segments(r), lambda e: F.struct(F.least(*ends(e)).alias("a"), F.greatest(*ends(e)).alias("b")))))
+    marked = layer.withColumn("_form", F.when(F.col("geom").isNotNull(), F.sha2(F.to_json(F.struct(F.sort_array(edges).alias("e"))), 256)))
+    first = marked.where("_form IS NOT NULL").groupBy(*on, "_form").agg(F.min(key).alias(key)).drop("_form")
+    return marked.where("_form IS NULL").drop("_form").unionByName(layer.join(first, [*on, key], "left_semi"))
 
 
 def patch_remove(patches: DataFrame, buildings: DataFrame, key: str = "patch_id", min_patch: float = 10_000.0, min_buildings: int = 20, footprint_sum: float = 6_000.0, density: float = 18.0, on=("pid",), refine=None) -> DataFrame:

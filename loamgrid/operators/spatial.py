@@ -15,6 +15,9 @@ from collections.abc import Callable
 from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 
+from loamgrid.functions.geometry import nearest_on_segment
+from loamgrid.runtime import cut_lineage
+
 BOX = ("xmin", "ymin", "xmax", "ymax")
 
 
@@ -61,13 +64,29 @@ def summary(left: DataFrame, right: DataFrame, key: list[str], aggregates: list[
     return left.join(found, key, "inner" if discard else "left")
 
 
-def nearest(points: DataFrame, segments: DataFrame, key: list[str], order: str, size: float, most: float, on: tuple[str, ...] = ()) -> DataFrame:
-    """For each point (columns x, y, and a box) the nearest segment (x1, y1, x2, y2) within `most`; ties go to the smallest `order`.
+def nearest(points: DataFrame, segments: DataFrame, key: list[str], order: str, size: float, most: float | None = None, on: tuple[str, ...] = ()) -> DataFrame:
+    """For each point (columns x, y, and a box) the nearest segment (x1, y1, x2, y2); ties go to the smallest `order`.
 
-    Columns: key, distance, fx, fy (the nearest point) and the segment's `order`.
+    Columns: key, distance, fx, fy (the nearest point) and the segment's `order`. With `most` only segments within that distance
+    count. Without, the reach doubles for the points that have found none, until it is the size of the layers; only points without any
+    segment (of equal `on`) are left out.
     """
-    from loamgrid.functions.geometry import nearest_on_segment
-
+    if most is not None:
+        return _nearest_within(points, segments, key, order, size, most, on)
+    out, left, reach = None, points, size / 2
+    span = lambda df: df.agg(F.min("xmin").alias("a"), F.min("ymin").alias("b"), F.max("xmax").alias("c"), F.max("ymax").alias("d"))
+    a, b, c, d = span(points.select("xmin", "ymin", "xmax", "ymax").union(segments.select("xmin", "ymin", "xmax", "ymax"))).first()
+    whole = 0.0 if a is None else ((c - a) ** 2 + (d - b) ** 2) ** 0.5
+    while True:
+        found = cut_lineage(_nearest_within(left, segments, key, order, max(size, reach), reach, on))
+        out = found if out is None else out.union(found)
+        left = cut_lineage(left.join(found.select(*key), key, "left_anti"))
+        if reach >= whole or left.isEmpty():
+            return out
+        reach *= 2
+
+
+def _nearest_within(points: DataFrame, segments: DataFrame, key: list[str], order: str, size: float, most: float, on: tuple[str, ...]) -> DataFrame:
     met = pairs(points, segments, size, on=on, within=most)
     foot = nearest_on_segment("l_x", "l_y", "r_x1", "r_y1", "r_x2", "r_y2")
     best = met.withColumn("_f", foot).where(F.col("_f.distance") <= most).groupBy(*("l_" + k for k in key)).agg(F.min(F.struct(F.col("_f.distance").alias("distance"), F.col("r_" + order).alias(order), F.col("_f.x").alias("fx"), F.col("_f.y").alias("fy"))).alias("m"))

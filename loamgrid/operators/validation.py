@@ -4,9 +4,11 @@ from __future__ import annotations
 
 from dataclasses import dataclass, fields
 
-from pyspark.sql import Column, DataFrame
+from pyspark.sql import Column, DataFrame, Window
 from pyspark.sql import functions as F
+from pyspark.sql import types as T
 
+from loamgrid.kernel.columns import invalid_reason
 from loamgrid.operators.filters import NEGATIVE, POSITIVE, code_field, filter_sections
 
 #: Patterns, least rows of a layer, most buildings a partition, columns that must be there.
@@ -62,6 +64,51 @@ def validate_ratio(buildings: DataFrame, partitions: DataFrame) -> DataFrame:
     return both.withColumn("severity", F.when(F.col("n_buildings") > MOST_BUILDINGS * F.col("n_partitions"), "warning").otherwise("ok"))
 
 
+def invalid_geometries(layer: DataFrame, key: str = "fid") -> DataFrame:
+    """key, reason of each polygon that isn't valid: too few points, ring not closed, self-intersection, empty. Null geometries are
+    not among them."""
+    return layer.where(F.col("geom").isNotNull()).select(key, invalid_reason("geom").alias("reason")).where("reason IS NOT NULL")
+
+
+def validate_geometries(layer: DataFrame, name: str, examples: int = 5, key: str = "fid") -> DataFrame:
+    """layer, check, severity, n, examples (at most so many ids, the smallest): a row for null geometries and for each reason."""
+    said = layer.select(key, F.when(F.col("geom").isNull(), "geometry is null").otherwise(invalid_reason("geom")).alias("check")).where("check IS NOT NULL")
+    ranked = said.withColumn("_n", F.row_number().over(Window.partitionBy("check").orderBy(key)))
+    found = ranked.groupBy("check").agg(F.count("*").alias("n"), F.sort_array(F.collect_list(F.when(F.col("_n") <= examples, F.col(key)))).alias("examples"))
+    return found.select(F.lit(name).alias("layer"), "check", F.lit("error").alias("severity"), "n", "examples")
+
+
+#: Kinds of geometry that the input layers must have.
+KINDS = {"buildings": "Polygon", "partitions": "Polygon", "roads": "Line", "barriers": "Line"}
+
+
+def validate_types(layers: dict[str, DataFrame]) -> DataFrame:
+    """layer, found, wanted, severity: the kind of geometry of each layer, by the type of its column geom."""
+    spark = next(iter(layers.values())).sparkSession
+
+    def kind(df: DataFrame) -> str:
+        t, depth = df.schema["geom"].dataType, 0
+        while isinstance(t, T.ArrayType):
+            t, depth = t.elementType, depth + 1
+        return ("Point", "Line", "Polygon", "MultiPolygon")[depth]
+
+    rows = [(n, kind(df), KINDS[n]) for n, df in layers.items()]
+    return spark.createDataFrame([(*r, "ok" if r[1] == r[2] else "error") for r in rows], "layer string, found string, wanted string, severity string")
+
+
+def validate_output(output: str, workspace: str) -> list[tuple[str, str]]:
+    """(severity, message): the output must be a .gpkg file in a directory, and there must be a workspace."""
+    out = []
+    if not (output or "").strip():
+        out.append(("error", "no output file"))
+    else:
+        if not output.lower().endswith(".gpkg"):
+            out.append(("error", f"the output file must be a .gpkg: {output}"))
+        if not output.rpartition("/")[0]:
+            out.append(("error", f"the output file must have a directory: {output}"))
+    return out + ([] if (workspace or "").strip() else [("error", "no workspace directory")])
+
+
 def validate_crs(crs: dict[str, str], geographic: tuple[str, ...] = ("EPSG:4326", "EPSG:4258")) -> list[tuple[str, str]]:
     """(severity, message): all layers must have one coordinate system; a geographic one is a warning."""
     out = []

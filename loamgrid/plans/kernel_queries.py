@@ -127,11 +127,11 @@ def large_isolated_buildings(spark, sf):
     return out.select("fid", F.round(G.polygon_area("g"), 6).alias("area"))
 
 
-@query("SELECT a.fid AS u, round((greatest(a.xmax, z.xmax) - least(a.xmin, z.xmin)) * (greatest(a.ymax, z.ymax) - least(a.ymin, z.ymin)), 4) AS area FROM b a JOIN b z ON a.pid = z.pid AND z.fid = a.fid + 25 WHERE a.fid % 2 = 0")
+@query("SELECT a.fid AS u, round((greatest(a.xmax, z.xmax) - least(a.xmin, z.xmin)) * (greatest(a.ymax, z.ymax) - least(a.ymin, z.ymin)), 4) AS area FROM b a JOIN b z ON a.pid = z.pid AND z.fid = a.fid + 25")
 def oriented_rects(spark, sf):
     """Oriented rectangles of pairs of neighbours: their dominant angle is 90, so that the rectangle is their common box."""
     b = X.buildings(spark, sf).select("fid", "pid", "geom")
-    pair = b.where("fid % 2 = 0").select(F.col("fid").alias("u"), "pid", F.col("geom").alias("g"), (F.col("fid") + 25).alias("v")).join(b.select(F.col("fid").alias("v"), F.col("geom").alias("h")), "v")
+    pair = b.select(F.col("fid").alias("u"), "pid", F.col("geom").alias("g"), (F.col("fid") + 25).alias("v")).join(b.select(F.col("fid").alias("v"), F.col("geom").alias("h")), "v")
     both = pair.select(F.col("u").alias("fid"), "pid", F.explode(F.array("g", "h")).alias("geom"))
     sent = parts.tag(both, "buildings")
     return parts.run([sent], _rectangles).select(F.col("fid").alias("u"), F.round("value", 4).alias("area"))
@@ -186,6 +186,16 @@ def gap_close(spark, sf):
     return _boxes(parts.run([parts.tag(shrunk, "settlement", "block_id"), parts.tag(X.blocks(spark, sf), "blocks", "block_id")], parts.gaps_closed))
 
 
+@query()
+def edge_catch(spark, sf):
+    """The middles of dense blocks, drawn out to the streets around them."""
+    d = _dense(spark, sf)
+    middle = d.select("block_id", "pid", G.rect_polygon(F.col("xmin") + 30, F.col("ymin") + 30, F.col("xmax") - 30, F.col("ymax") - 30).alias("geom"))
+    roads, blocks = X.roads(spark, sf), X.blocks(spark, sf)
+    sent = [parts.tag(middle, "groups", "block_id"), parts.tag(X.buildings(spark, sf), "buildings"), parts.tag(roads, "roads", line=True), parts.tag(blocks, "blocks", "block_id")]
+    return _boxes(parts.run(sent, parts.caught))
+
+
 @query()
 def delineate(spark, sf):
     """The whole delineation: patches of all partitions."""

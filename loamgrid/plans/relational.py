@@ -8,6 +8,7 @@ from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
 from loamgrid.functions import geometry as G
+from loamgrid.kernel.columns import touches, within
 from loamgrid.operators import density, edges, filters, lines, patches, rules, validation
 from loamgrid.operators.spatial import anti, nearest, pairs, semi, summary
 from loamgrid.plans.layers_sql import CORNERS, EDGES, LAYERS, NEAREST
@@ -100,11 +101,11 @@ def building_buffer_distance(spark, sf):
     return X.buildings(spark, sf).select("fid", G.buffer_distance(G.polygon_area("geom")).alias("distance"))
 
 
-@query("SELECT fid, CAST(ring_no AS INTEGER) AS ring_no, CAST(0 AS BIGINT) AS n FROM b, (SELECT 0 AS ring_no) WHERE FALSE", layers=True)
+@query("SELECT fid, CAST(1 + fid % 3 AS BIGINT) AS n FROM r WHERE fid % 3 > 0")
 def multipart_lines(spark, sf):
-    """Lines of several parts: none, as every street has one."""
-    parts = X.roads(spark, sf).withColumn("parts", F.array("geom"))
-    return parts.where(F.size("parts") > 1).select("fid", F.lit(0).alias("ring_no"), F.size("parts").cast("long").alias("n"))
+    """Lines of several parts, where streets come in one to three parts."""
+    many = X.roads(spark, sf).withColumn("parts", F.array_repeat("geom", (1 + F.col("fid") % 3).cast("int")))
+    return many.where(F.size("parts") > 1).select("fid", F.size("parts").cast("long").alias("n"))
 
 
 # --- spatial joins -----------------------------------------------------------------------------------------------------------
@@ -163,7 +164,7 @@ def block_density(spark, sf):
     """Mean clipped density of blocks with more than 20 buildings, per partition."""
     blocks, b = X.blocks(spark, sf), X.buildings(spark, sf)
     many = density.building_counts(blocks, b).where("building_count > 20").drop("building_count")
-    return density.mean_density(density.footprint_density(many, b), ["pid"]).select("pid", "n_blocks", *_r("density"))
+    return density.mean_density(density.footprint_density(many, b), ["pid"], blocks=many).select("pid", "n_blocks", *_r("density"))
 
 
 @query("SELECT pt.fid AS point_id, bl.block_id FROM (SELECT fid, pid, (xmin + xmax) / 2 AS x, (ymin + ymax) / 2 AS y FROM b) pt JOIN bl ON pt.pid = bl.pid AND x BETWEEN bl.xmin AND bl.xmax AND y BETWEEN bl.ymin AND bl.ymax")
@@ -204,9 +205,9 @@ def _corners(b: DataFrame) -> DataFrame:
 
 
 def _shortest(spark, sf) -> DataFrame:
-    """Shortest lines from corners to streets: x1, y1 (corner), x2, y2 (foot), angle, distance, road_id. No point is over 100 m from a street."""
+    """Shortest lines from corners to streets: x1, y1 (corner), x2, y2 (foot), angle, distance, road_id."""
     pts = _corners(X.buildings(spark, sf))
-    near = nearest(pts, X.roads(spark, sf).withColumnRenamed("fid", "road_id"), ["fid", "pid", "seq", "x", "y"], "road_id", 100.0, 101.0, on=("pid",))
+    near = nearest(pts, X.roads(spark, sf).withColumnRenamed("fid", "road_id"), ["fid", "pid", "seq", "x", "y"], "road_id", 100.0, on=("pid",))
     near = near.select("fid", "pid", "seq", F.col("x").alias("x1"), F.col("y").alias("y1"), F.col("fx").alias("x2"), F.col("fy").alias("y2"), "distance", "road_id")
     return near.withColumn("angle", G.azimuth(F.col("x2") - F.col("x1"), F.col("y2") - F.col("y1")))
 
@@ -216,13 +217,31 @@ def vertices(spark, sf):
     return _corners(X.buildings(spark, sf)).select("fid", "seq", "x", "y")
 
 
-@query("SELECT DISTINCT pc.fid, pc.piece_no FROM (SELECT fid, pid, CAST(i AS BIGINT) AS piece_no, x1 + (x2 - x1) * i * 20 / l AS ax, y1 + (y2 - y1) * i * 20 / l AS ay, x1 + (x2 - x1) * least((i + 1) * 20 / l, 1) AS bx, y1 + (y2 - y1) * least((i + 1) * 20 / l, 1) AS by_ FROM (SELECT *, sqrt((x2 - x1) * (x2 - x1) + (y2 - y1) * (y2 - y1)) AS l FROM r WHERE fid % 100 < 40), range(0, 160) t(i)) pc JOIN b ON b.pid = pc.pid AND sqrt(power(greatest(b.xmin - greatest(ax, bx), 0, least(ax, bx) - b.xmax), 2) + power(greatest(b.ymin - greatest(ay, by_), 0, least(ay, by_) - b.ymax), 2)) <= 25")
+def _reach(x: str, y: str) -> str:
+    """SQL: distance of a point from the box of building b."""
+    return f"sqrt(power(greatest(b.xmin - {x}, 0, {x} - b.xmax), 2) + power(greatest(b.ymin - {y}, 0, {y} - b.ymax), 2))"
+
+
+def _foot(x: str, y: str) -> str:
+    """SQL: distance of a point from the piece ax, ay, bx, by_."""
+    t = f"least(greatest((({x} - ax) * (bx - ax) + ({y} - ay) * (by_ - ay)) / ((bx - ax) * (bx - ax) + (by_ - ay) * (by_ - ay)), 0), 1)"
+    return f"sqrt(power({x} - ax - {t} * (bx - ax), 2) + power({y} - ay - {t} * (by_ - ay), 2))"
+
+
+#: A piece of 20 m that crosses a box has an end within 20 m of it, so that ends and corners tell whether it comes within 25 m.
+CLOSE = " OR ".join(f"{d} <= 25" for d in (_reach("ax", "ay"), _reach("bx", "by_"), *(_foot("b." + x, "b." + y) for x in ("xmin", "xmax") for y in ("ymin", "ymax"))))
+PIECES = ", pc AS (SELECT fid, pid, CAST(i AS BIGINT) AS piece_no, x1 + (x2 - x1) * i * 20 / l AS ax, y1 + (y2 - y1) * i * 20 / l AS ay, x1 + (x2 - x1) * least((i + 1) * 20 / l, 1) AS bx, y1 + (y2 - y1) * least((i + 1) * 20 / l, 1) AS by_ FROM (SELECT *, sqrt((x2 - x1) * (x2 - x1) + (y2 - y1) * (y2 - y1)) AS l FROM r), range(0, 160) t(i) WHERE i < ceil(l / 20))"
+
+
+@query(f"SELECT DISTINCT pc.fid, pc.piece_no FROM pc JOIN b ON b.pid = pc.pid AND b.xmin <= greatest(ax, bx) + 25 AND b.xmax >= least(ax, bx) - 25 AND b.ymin <= greatest(ay, by_) + 25 AND b.ymax >= least(ay, by_) - 25 AND ({CLOSE})", PIECES)
 def roads_near_buildings(spark, sf):
-    """20 m pieces of the lattice's streets within 25 m of a building (axis-aligned pieces, so that boxes give the distance)."""
-    pieces = lines.split_by_length(X.roads(spark, sf).where("fid % 100 < 40"), 20.0)
-    gap = lambda lo, hi: F.greatest(F.col("r_" + lo) - F.col("l_" + hi), F.lit(0.0), F.col("l_" + lo) - F.col("r_" + hi))
-    close = lambda: F.hypot(gap("xmin", "xmax"), gap("ymin", "ymax")) <= 25
-    return semi(pieces, X.buildings(spark, sf), ["fid", "piece_no"], 50.0, on=("pid",), within=25.0, refine=close).select("fid", "piece_no")
+    """20 m pieces of all streets within 25 m of a building."""
+    pieces = lines.split_by_length(X.roads(spark, sf), 20.0)
+    box = ["r_" + c for c in ("xmin", "ymin", "xmax", "ymax")]
+    ends = ["l_" + c for c in lines.ENDS]
+    corners = [(F.col(x), F.col(y)) for x in (box[0], box[2]) for y in (box[1], box[3])]
+    far = lambda: F.least(G.rect_point_distance(*ends[:2], *box), G.rect_point_distance(*ends[2:], *box), *(G.nearest_on_segment(x, y, *ends)["distance"] for x, y in corners))
+    return semi(pieces, X.buildings(spark, sf), ["fid", "piece_no"], 50.0, on=("pid",), within=25.0, refine=lambda: far() <= 25).select("fid", "piece_no")
 
 
 # --- lines -------------------------------------------------------------------------------------------------------------------
@@ -276,11 +295,11 @@ def filtered_streets(spark, sf):
 
 @query(
     "SELECT pid, x, y, count(DISTINCT (ox, oy)) AS degree FROM (SELECT pid, x1 AS x, y1 AS y, x2 AS ox, y2 AS oy FROM s20 UNION ALL SELECT pid, x2, y2, x1, y1 FROM s20) GROUP BY pid, x, y",
-    ", s20 AS (SELECT pid, round(x1 + (x2 - x1) * i / 16, 6) AS x1, round(y1 + (y2 - y1) * i / 16, 6) AS y1, round(x1 + (x2 - x1) * (i + 1) / 16, 6) AS x2, round(y1 + (y2 - y1) * (i + 1) / 16, 6) AS y2 FROM r, range(0, 16) t(i) WHERE fid % 100 < 40)",
+    ", s20 AS (SELECT pid, round(x1 + (x2 - x1) * i * 200 / l, 6) AS x1, round(y1 + (y2 - y1) * i * 200 / l, 6) AS y1, round(x1 + (x2 - x1) * least((i + 1) * 200 / l, 1), 6) AS x2, round(y1 + (y2 - y1) * least((i + 1) * 200 / l, 1), 6) AS y2 FROM (SELECT *, sqrt((x2 - x1) * (x2 - x1) + (y2 - y1) * (y2 - y1)) AS l FROM r), range(0, 16) t(i) WHERE i < ceil(l / 200))",
 )
 def node_degree(spark, sf):
-    """Degrees in the lattice, cut at its crossings."""
-    return lines.node_degrees(lines.split_by_length(X.roads(spark, sf).where("fid % 100 < 40"), 200.0)).select("pid", *_r("x", "y"), "degree")
+    """Degrees in the street network, cut at the lattice's crossings."""
+    return lines.node_degrees(lines.split_by_length(X.roads(spark, sf), 200.0)).select("pid", *_r("x", "y"), "degree")
 
 
 @query("SELECT fid, CAST(n AS INTEGER) AS ring_no, 5 AS n_vertices, 2 * ((xmax - xmin) + (ymax - ymin)) AS length FROM b, range(0, 1) t(n)")
@@ -389,13 +408,24 @@ def edge_weights(spark, sf):
     return e.select("u", "v", edges.vertex_distance("g", "h").alias("weight")).select("u", "v", *_r("weight"))
 
 
-@query("SELECT u, v FROM (SELECT a.fid AS u, z.fid AS v, a.pid, (a.xmin + a.xmax) / 2 AS x1, (a.ymin + a.ymax) / 2 AS y1, (z.xmin + z.xmax) / 2 AS x2, (z.ymin + z.ymax) / 2 AS y2 FROM b a JOIN b z ON a.pid = z.pid AND z.fid = a.fid + 25) g WHERE NOT EXISTS (SELECT 1 FROM r WHERE r.pid = g.pid AND r.fid % 100 < 40 AND least(g.x1, g.x2) <= greatest(r.x1, r.x2) AND greatest(g.x1, g.x2) >= least(r.x1, r.x2) AND least(g.y1, g.y2) <= greatest(r.y1, r.y2) AND greatest(g.y1, g.y2) >= least(r.y1, r.y2))")
+def _turn(a: str, b: str, x: str, y: str) -> str:
+    """SQL: twice the signed area of a triangle; a and b are prefixes of x1, y1 and x2, y2."""
+    return f"(({b}x2 - {a}x1) * ({y} - {a}y1) - ({b}y2 - {a}y1) * ({x} - {a}x1))"
+
+
+CROSSING = (
+    "least(g.x1, g.x2) <= greatest(r.x1, r.x2) AND greatest(g.x1, g.x2) >= least(r.x1, r.x2) AND least(g.y1, g.y2) <= greatest(r.y1, r.y2) AND greatest(g.y1, g.y2) >= least(r.y1, r.y2) "
+    f"AND {_turn('g.', 'g.', 'r.x1', 'r.y1')} * {_turn('g.', 'g.', 'r.x2', 'r.y2')} <= 0 AND {_turn('r.', 'r.', 'g.x1', 'g.y1')} * {_turn('r.', 'r.', 'g.x2', 'g.y2')} <= 0"
+)
+
+
+@query(f"SELECT u, v FROM (SELECT a.fid AS u, z.fid AS v, a.pid, (a.xmin + a.xmax) / 2 AS x1, (a.ymin + a.ymax) / 2 AS y1, (z.xmin + z.xmax) / 2 AS x2, (z.ymin + z.ymax) / 2 AS y2 FROM b a JOIN b z ON a.pid = z.pid AND z.fid = a.fid + 25) g WHERE NOT EXISTS (SELECT 1 FROM r WHERE r.pid = g.pid AND {CROSSING})")
 def edges_crossing_streets(spark, sf):
-    """Edges between the centres of neighbours in Morton order that cross no street of the lattice."""
+    """Edges between the centres of neighbours in Morton order that cross no street."""
     c = _centres(X.buildings(spark, sf))
     e = c.select(F.col("fid").alias("u"), "pid", (F.col("fid") + 25).alias("v"), F.col("x").alias("x1"), F.col("y").alias("y1")).join(c.select(F.col("fid").alias("v"), F.col("x").alias("x2"), F.col("y").alias("y2")), "v")
     crosses = lambda: G.segments_intersect(("l_x1", "l_y1", "l_x2", "l_y2"), ("r_x1", "r_y1", "r_x2", "r_y2"))
-    return anti(lines.with_box(e), X.roads(spark, sf).where("fid % 100 < 40"), ["u", "v"], 200.0, on=("pid",), refine=crosses).select("u", "v")
+    return anti(lines.with_box(e), X.roads(spark, sf), ["u", "v"], 200.0, on=("pid",), refine=crosses).select("u", "v")
 
 
 @query("SELECT fid, CAST(count(*) AS BIGINT) AS n, CAST(sum(CASE WHEN d <= 2 THEN 1 ELSE 0 END) AS BIGINT) AS n_kept, round(sum(CASE WHEN d <= 2 THEN distance END), 6) AS total FROM (SELECT *, row_number() OVER (PARTITION BY fid ORDER BY distance, seq) AS d FROM sl) GROUP BY fid", NEAREST)
@@ -497,10 +527,10 @@ def patch_building_count(spark, sf):
     return out.select("patch_id", F.col("building_count").alias("join_count"))
 
 
-@query("SELECT fid, group_no, round(100 * sum(CASE WHEN hit THEN 10 ELSE 0 END) / sum(10), 6) AS share FROM (SELECT fid, i // 16 AS group_no, i % 3 <> 0 AS hit FROM r, range(0, 320) t(i) WHERE fid % 100 < 40) GROUP BY fid, group_no")
+@query("SELECT fid, group_no, round(100 * sum(CASE WHEN hit THEN n ELSE 0 END) / sum(n), 6) AS share FROM (SELECT fid, i // 16 AS group_no, i % 3 <> 0 AS hit, least(10, l - 10 * i) AS n FROM (SELECT *, sqrt((x2 - x1) * (x2 - x1) + (y2 - y1) * (y2 - y1)) AS l FROM r), range(0, 320) t(i) WHERE i < ceil(l / 10)) GROUP BY fid, group_no")
 def boundary_contact_share(spark, sf):
     """Share of a boundary's 10 m segments that pass a test (here: two of three), by length, whole segments counting."""
-    pieces = lines.length(lines.split_by_length(X.roads(spark, sf).where("fid % 100 < 40"), 10.0)).withColumn("group_no", F.expr("piece_no div 16")).withColumn("hit", F.col("piece_no") % 3 != 0)
+    pieces = lines.length(lines.split_by_length(X.roads(spark, sf), 10.0)).withColumn("group_no", F.expr("piece_no div 16")).withColumn("hit", F.col("piece_no") % 3 != 0)
     return contact_share(pieces, ["fid", "group_no"]).select("fid", "group_no", *_r("share"))
 
 
@@ -542,3 +572,70 @@ def validate_partitions(spark, sf):
 @query("SELECT c AS \"check\", s AS severity, CAST(0 AS BIGINT) AS n FROM (VALUES ('no positive section', 'error'), ('no negative section', 'error'), ('sections in wrong order', 'error'), ('positive section is empty', 'error'), ('negative section is empty', 'error'), ('entries outside sections', 'warning'), ('codes of a wrong form', 'warning')) t(c, s)", layers=False)
 def validate_filter_file(spark, sf):
     return validation.validate_filter_file(filters.text_lines(spark, X.FILTER_TEXT))
+
+
+# --- geometries as sets of points --------------------------------------------------------------------------------------------
+
+#: An L made of the lower left three quarters of each building, and a diamond with the building's box: shapes that don't fill their boxes.
+L_SHAPE = [(0, 0), (1, 0), (1, 0.5), (0.5, 0.5), (0.5, 1), (0, 1), (0, 0)]
+DIAMOND = [(0.5, 0), (1, 0.5), (0.5, 1), (0, 0.5), (0.5, 0)]
+
+
+def _shaped(b: DataFrame, corners: list[tuple[float, float]]) -> DataFrame:
+    at = lambda lo, hi, t: F.col(lo) + (F.col(hi) - F.col(lo)) * t
+    return b.drop("area").withColumn("geom", F.array(F.array(*(G.point(at("xmin", "xmax", u), at("ymin", "ymax", v)) for u, v in corners))))
+
+
+@query("SELECT fid, 'L' AS shape, area * 3 / 4 AS area, round(xmin + (xmax - xmin) * 5 / 12, 6) AS x, round(ymin + (ymax - ymin) * 5 / 12, 6) AS y FROM b UNION ALL SELECT fid, 'diamond', area / 2, round((xmin + xmax) / 2, 6), round((ymin + ymax) / 2, 6) FROM b")
+def shape_centroids(spark, sf):
+    """Area and centroid of buildings that are an L or a diamond."""
+    b = X.buildings(spark, sf)
+    out = _shaped(b, L_SHAPE).withColumn("shape", F.lit("L")).union(_shaped(b, DIAMOND).withColumn("shape", F.lit("diamond")))
+    return out.select("fid", "shape", G.polygon_area("geom").alias("area"), G.polygon_centroid("geom").alias("c")).select("fid", "shape", "area", F.round("c.x", 6).alias("x"), F.round("c.y", 6).alias("y"))
+
+
+@query("SELECT pid, block_id, sum(area) * 3 / 4 AS sum_area_intersect, round(sum(area) * 3 / 4 / 40000 * 100, 6) AS overlap FROM (SELECT bl.pid, bl.block_id, b.area FROM b JOIN bl ON b.pid = bl.pid AND b.xmin >= bl.xmin AND b.xmax <= bl.xmax AND b.ymin >= bl.ymin AND b.ymax <= bl.ymax) GROUP BY pid, block_id")
+def l_shape_density(spark, sf):
+    """Clipped density of blocks by L-shaped buildings that lie within one (each building of the fixture does)."""
+    return density.footprint_density(X.blocks(spark, sf), _shaped(X.buildings(spark, sf), L_SHAPE)).select("pid", "block_id", "sum_area_intersect", *_r("overlap"))
+
+
+@query("SELECT b.fid, bl.block_id FROM b JOIN bl ON b.pid = bl.pid AND b.xmin >= bl.xmin AND b.xmax <= bl.xmax AND b.ymin >= bl.ymin AND b.ymax <= bl.ymax")
+def buildings_within_blocks(spark, sf):
+    """The block that each diamond-shaped building lies in, by geometry."""
+    met = pairs(_shaped(X.buildings(spark, sf), DIAMOND), X.blocks(spark, sf), 200.0, on=("pid",), refine=lambda: within("l_geom", "r_geom"))
+    return met.select(F.col("l_fid").alias("fid"), F.col("r_block_id").alias("block_id"))
+
+
+@query("SELECT a.block_id AS a, z.block_id AS b FROM bl a JOIN bl z ON a.pid = z.pid AND a.block_id < z.block_id AND a.xmin <= z.xmax AND z.xmin <= a.xmax AND a.ymin <= z.ymax AND z.ymin <= a.ymax")
+def touching_blocks(spark, sf):
+    """Blocks that share border points and no area."""
+    b = X.blocks(spark, sf)
+    met = pairs(b, b, 200.0, on=("pid",)).where("l_block_id < r_block_id").where(touches("l_geom", "r_geom"))
+    return met.select(F.col("l_block_id").alias("a"), F.col("r_block_id").alias("b"))
+
+
+@query("SELECT fid, pid FROM b")
+def distinct_geometries(spark, sf):
+    """Buildings and copies of theirs whose rings begin elsewhere and run the other way: one of each."""
+    b = X.buildings(spark, sf).select("fid", "pid", "geom")
+    ring = F.col("geom")[0]
+    turned = F.reverse(F.concat(F.slice(ring, 3, 3), F.slice(ring, 2, 2)))
+    copies = b.select((F.col("fid") + 1_000_000_000).alias("fid"), "pid", F.array(turned).alias("geom"))
+    return patches.distinct_geometries(b.union(copies)).select("fid", "pid")
+
+
+@query("SELECT fid, CASE WHEN fid % 5 = 0 THEN 'ring not closed' WHEN fid % 5 = 1 THEN 'self-intersection' ELSE 'too few points' END AS reason FROM b WHERE fid % 5 < 3")
+def invalid_geometries(spark, sf):
+    """Why broken copies of buildings are invalid: open rings, bow ties, rings of two points."""
+    ring = F.col("geom")[0]
+    bow = F.array(ring[0], ring[2], ring[1], ring[3], ring[0])
+    kind = F.col("fid") % 5
+    broken = F.when(kind == 0, F.slice(ring, 1, 4)).when(kind == 1, bow).when(kind == 2, F.array(ring[0], ring[1], ring[0])).otherwise(ring)
+    return validation.invalid_geometries(X.buildings(spark, sf).select("fid", F.array(broken).alias("geom"))).select("fid", "reason")
+
+
+@query("SELECT * FROM (VALUES ('buildings', 'Polygon', 'Polygon', 'ok'), ('partitions', 'Polygon', 'Polygon', 'ok'), ('roads', 'Line', 'Line', 'ok'), ('barriers', 'Polygon', 'Line', 'error')) t(layer, found, wanted, severity)", layers=False)
+def validate_geometry_types(spark, sf):
+    """Kinds of geometry of the input layers; the barriers here are polygons by mistake."""
+    return validation.validate_types({"buildings": X.buildings(spark, sf), "partitions": X.partitions(spark, sf), "roads": X.roads(spark, sf), "barriers": X.blocks(spark, sf)})

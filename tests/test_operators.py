@@ -169,7 +169,7 @@ def small_layers(spark, sf):
 def test_delineation_and_resuming(spark, sf, tmp_path):
     codes = filters.filter_codes(filters.text_lines(spark, X.FILTER_TEXT))
     layers = small_layers(spark, sf)
-    params = Params(min_patch_size=100, min_bdg_count=1)
+    params = Params(min_patch_size=100, min_bdg_count=1, min_overlap_blocks=60, global_footprint_density=18)  # no dense block, so that there are trees
     first = pipeline.run_resumable(spark, {**layers, "partitions": layers["partitions"].where("pid = 0")}, codes, str(tmp_path / "out"), params)
     n = first.count()
     assert n > 0 and {r.pid for r in first.collect()} == {0}
@@ -179,7 +179,62 @@ def test_delineation_and_resuming(spark, sf, tmp_path):
     with pytest.raises(ValueError):
         pipeline.delineate(layers, codes, Params(min_area=1))
     seen = pipeline.delineate(layers, codes, params, debug=str(tmp_path / "steps"))
-    assert seen.count() == both.count() and spark.read.parquet(str(tmp_path / "steps" / "003_settlement")).count() > 0
+    assert seen.count() == both.count() and spark.read.parquet(str(tmp_path / "steps" / "004_settlement")).count() > 0
+
+
+def test_stage_gets_the_right_buildings(monkeypatch):
+    """Each step of a partition gets the layer that the original method gives it, at the partition's own coverage."""
+    import numpy as np
+
+    from loamgrid.kernel import stages
+
+    box = lambda x, y, s: [np.array([(x, y), (x + s, y), (x + s, y + s), (x, y + s), (x, y)], float)]
+    seen = {}
+    monkeypatch.setattr(stages, "city_blocks", lambda part, roads, shapes: seen.update(blocks=(len(roads), len(shapes))) or [box(0, 0, 100), box(100, 0, 100)])
+    monkeypatch.setattr(parts, "cluster", lambda buildings, tree, ratio: seen.update(cluster=(sorted(f for f, _, _ in buildings), ratio)) or [box(110, 10, 40)])
+    monkeypatch.setattr(stages, "edge_catch", lambda groups, shapes, roads, blocks: seen.update(catch=(len(shapes), len(roads))) or groups)
+    monkeypatch.setattr(stages, "erode", lambda merged, shapes: seen.update(erode=(len(merged), len(shapes))) or merged)
+    monkeypatch.setattr(stages, "close_gaps", lambda layer, *_: layer)
+    split = [(i, None, box(*p, 20)) for i, p in enumerate([(5, 5), (30, 5), (55, 5), (5, 30), (110, 10), (140, 10), (170, 60), (130, 70)])]
+    road, barrier = [np.array([(100.0, 0), (100, 100)])], [np.array([(0.0, 50), (200, 50)])]
+    layers = {"part": [(0, 31.5, box(0, 0, 200))], "split": split, "buildings": split[:7], "roads": [(0, None, road)], "barriers": [(0, None, barrier)], "streets": [(0, None, road)]}
+    out = list(parts.settlement(least_cover=16.0)(layers))
+    assert seen["blocks"] == (2, 8)  # roads and barriers; all split buildings
+    assert seen["cluster"] == ([4, 5, 6], 31.5)  # filtered buildings outside dense blocks; the partition's coverage
+    assert seen["catch"] == (3, 1)  # these buildings; roads only
+    assert seen["erode"][1] == 8 and len(out) == 4  # all split buildings; the dense block, the group and two large buildings outside it
+    layers["buildings"] = split[:4]
+    assert list(parts.settlement(least_cover=16.0)(layers)) == []  # no spanning tree
+
+
+def test_split_by_roads(spark):
+    from loamgrid.operators import lines
+
+    b = boxes(spark, (0, 0, 10, 10), (20, 0, 30, 10), (100, 100, 110, 110)).withColumn("geom", G.rect_polygon()).withColumn("fkt", F.lit("x"))
+    r = lines.with_box(spark.createDataFrame([(0, 4.0, -5.0, 4.0, 50.0), (0, -5.0, 6.0, 60.0, 6.0)], "pid long, x1 double, y1 double, x2 double, y2 double")).withColumn("geom", G.line(G.point("x1", "y1"), G.point("x2", "y2")))
+    b = b.withColumn("pid", F.lit(0).cast("long"))
+    got = pipeline.split_by_roads(b, r)
+    sizes = {}
+    for row in got.select("fid", "xmin", "xmax", G.polygon_area("geom").alias("a"), "fkt").collect():
+        assert row.fkt == "x" and row.xmin < row.xmax
+        sizes.setdefault(row.fid // pipeline.PIECES, []).append(round(row.a, 6))
+    assert {k: sorted(v) for k, v in sizes.items()} == {0: [16.0, 24.0, 24.0, 36.0], 1: [40.0, 60.0], 2: [100.0]}
+
+
+def test_nearest_has_no_limit(spark):
+    from loamgrid.operators import lines
+    from loamgrid.operators.spatial import nearest
+
+    pts = spark.createDataFrame([(1, 0.0, 0.0), (2, 5000.0, 3.0), (3, 90.0, 0.0)], "id long, x double, y double").withColumns({"xmin": F.col("x"), "ymin": F.col("y"), "xmax": F.col("x"), "ymax": F.col("y")})
+    segs = lines.with_box(spark.createDataFrame([(7, 100.0, -1.0, 100.0, 1.0), (8, 0.0, 9000.0, 1.0, 9000.0)], "sid long, x1 double, y1 double, x2 double, y2 double"))
+    got = {r.id: (r.sid, round(r.distance, 3)) for r in nearest(pts, segs, ["id"], "sid", 10.0).collect()}
+    assert got == {1: (7, 100.0), 2: (7, 4900.0), 3: (7, 10.0)}
+    assert nearest(pts, segs.limit(0), ["id"], "sid", 10.0).count() == 0
+
+
+def test_output_paths():
+    assert validation.validate_output("/d/x.gpkg", "/w") == []
+    assert len(validation.validate_output("x.shp", " ")) == 3 and len(validation.validate_output("", "/w")) == 1
 
 
 def test_runs_without_the_text_operators(tmp_path):
