@@ -37,7 +37,7 @@ SPACES = regex.compile(SPACE + "+")
 #: str.split() splits at these too, though they are not white space by the property.
 SEPARATORS = regex.compile("[\x1c-\x1f]")
 #: Distinct chunks and words whose ids a worker remembers.
-REMEMBERED, SEEN_ONCE, LONGEST_KEPT = 500_000, 250_000, 64
+REMEMBERED, LONGEST_KEPT = 1_200_000, 64
 
 
 def byte_alphabet() -> list[str]:
@@ -65,24 +65,15 @@ class Slices:
 
 
 class Remembered(dict):
-    """Results of a function by argument; what is missing is worked out. Arguments that come up a second time are kept; those seen once
-    wait in a smaller table, which begins anew when it is full, so that rare ones take little memory. Long ones are never kept."""
+    """Results of a function by argument; what is missing is worked out. A full table begins anew; long arguments are never kept."""
 
     def __init__(self, work: Callable[[str], bytes]) -> None:
         super().__init__()
         self.work = work
-        self.once: dict[str, bytes] = {}
 
     def __missing__(self, key: str) -> bytes:
-        if len(key) > LONGEST_KEPT:
-            return self.work(key)
-        value = self.once.pop(key, None)
-        if value is None:
-            value = self.work(key)
-            if len(self.once) >= SEEN_ONCE:
-                self.once.clear()
-            self.once[key] = value
-        else:
+        value = self.work(key)
+        if len(key) <= LONGEST_KEPT:
             if len(self) >= REMEMBERED:
                 self.clear()
             self[key] = value
