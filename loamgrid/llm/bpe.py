@@ -25,7 +25,7 @@ from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 from pyspark.sql import types as T
 
-from loamgrid.llm.common import map_batches, texts
+from loamgrid.llm.common import keep_only, map_batches, texts
 
 #: Stands for the end of a word inside token texts; no byte-level character is that low.
 END = "\0"
@@ -38,6 +38,8 @@ SPACES = regex.compile(SPACE + "+")
 SEPARATORS = regex.compile("[\x1c-\x1f]")
 #: Distinct chunks and words whose ids a worker remembers.
 REMEMBERED, LONGEST_KEPT = 1_200_000, 64
+#: Under this name a worker keeps encoders from task to task.
+OWNER = "encoder"
 
 
 def byte_alphabet() -> list[str]:
@@ -215,12 +217,17 @@ class Encoder:
         return self.decoded.join(ids)[:-1]
 
 
-@functools.lru_cache(maxsize=2)
-def encoder(path: str) -> Encoder:
-    """A worker process reads a tokenizer file once."""
+@functools.lru_cache(maxsize=1)
+def _encoder(path: str) -> Encoder:
     return Encoder(path)
 
 
+def encoder(path: str) -> Encoder:
+    """A worker process reads a tokenizer file once, and again after tasks of other operators than those that encode."""
+    keep_only(OWNER, _encoder.cache_clear)
+    return _encoder(path)
+
+
 def encode_table(docs: DataFrame, path: str) -> DataFrame:
     """doc_id, ids (array of int) for every row of docs: the operator's real output. Null text counts as empty: no ids."""
 
@@ -234,7 +241,7 @@ def encode_table(docs: DataFrame, path: str) -> DataFrame:
 
         return work
 
-    return map_batches(docs.select("doc_id", "text"), start, [T.StructField("ids", T.ArrayType(T.IntegerType()))], ["doc_id"])
+    return map_batches(docs.select("doc_id", "text"), start, [T.StructField("ids", T.ArrayType(T.IntegerType()))], ["doc_id"], OWNER)
 
 
 def decode_table(encoded: DataFrame, path: str) -> DataFrame:
@@ -244,7 +251,7 @@ def decode_table(encoded: DataFrame, path: str) -> DataFrame:
         e = encoder(path)
         return lambda batch: [pa.array([e.decode(np.array(x or [], np.int64)).decode() for x in batch.column("ids").to_pylist()], pa.string())]
 
-    return map_batches(encoded.select("doc_id", "ids"), start, [T.StructField("decoded", T.StringType())], ["doc_id"])
+    return map_batches(encoded.select("doc_id", "ids"), start, [T.StructField("decoded", T.StringType())], ["doc_id"], OWNER)
 
 
 def token_digests(docs: DataFrame, path: str) -> DataFrame:
@@ -268,4 +275,4 @@ def token_digests(docs: DataFrame, path: str) -> DataFrame:
         return work
 
     fields = [T.StructField("n_tokens", T.LongType()), T.StructField("ids_sha256", T.StringType()), T.StructField("decoded_sha256", T.StringType())]
-    return map_batches(docs.select(F.col("doc_id"), "text"), start, fields, ["doc_id"])
+    return map_batches(docs.select(F.col("doc_id"), "text"), start, fields, ["doc_id"], OWNER)

@@ -2,6 +2,7 @@
 
 from __future__ import annotations
 
+import gc
 from collections.abc import Callable, Iterator
 
 import pyarrow as pa
@@ -26,11 +27,28 @@ def others(df: DataFrame, *own: str) -> list[str]:
     return [c for c in df.columns if c.lower() not in taken]
 
 
-def map_batches(df: DataFrame, start: Callable[[], Callable[[pa.RecordBatch], list[pa.Array]]], fields: list[T.StructField], keep: list[str]) -> DataFrame:
-    """df's `keep` columns and new ones that start()'s function makes of each batch, row for row; start() runs once a task."""
+_kept: dict[str, Callable[[], None]] = {}  # what a worker process keeps from task to task: by owner, how to drop it
+
+
+def keep_only(owner: str, drop: Callable[[], None] | None = None) -> None:
+    """For a task's start: what other owners' tasks have left in the worker process goes; `drop` does the same for this one's, later on."""
+    others_kept = [o for o in _kept if o != owner]
+    for o in others_kept:
+        _kept.pop(o)()
+    if others_kept:
+        gc.collect()
+        pa.default_memory_pool().release_unused()
+    if drop:
+        _kept[owner] = drop
+
+
+def map_batches(df: DataFrame, start: Callable[[], Callable[[pa.RecordBatch], list[pa.Array]]], fields: list[T.StructField], keep: list[str], owner: str = "") -> DataFrame:
+    """df's `keep` columns and new ones that start()'s function makes of each batch, row for row; start() runs once a task. What tasks
+    of owners other than `owner` have left in a worker's memory is dropped first."""
     schema = T.StructType([df.schema[c] for c in keep] + fields)
 
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+        keep_only(owner)
         work = start()
         names = [*keep, *(f.name for f in fields)]
         for batch in batches:
