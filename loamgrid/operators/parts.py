@@ -16,7 +16,8 @@ from pyspark.sql import functions as F
 from pyspark.sql.pandas.types import to_arrow_type
 
 from loamgrid.kernel import graph, planar, stages
-from loamgrid.kernel.columns import POLYGON, from_polygon, to_polygon
+from loamgrid.kernel.columns import POLYGON, from_polygon
+from loamgrid.kernel.convex import polygons as polygons_of
 
 TAGGED = "pid long, layer string, fid long, value double, text string, geom array<array<struct<x:double,y:double>>>"
 OUT = "pid long, layer string, fid long, value double, geom array<array<struct<x:double,y:double>>>"
@@ -50,8 +51,9 @@ def run(layers: list[DataFrame], stage: Callable[[Layers], Rows]) -> DataFrame:
 
     def work(key: tuple, table: pa.Table) -> pa.Table:
         mine: Layers = {}
-        for layer, fid, value, geom in zip(*(table.column(c).to_pylist() for c in ("layer", "fid", "value", "geom")), strict=True):
-            polygon = [r for r in to_polygon(geom) if len(r) > 1]
+        geoms = (p for chunk in table.column("geom").chunks for p in polygons_of(chunk))
+        for layer, fid, value, geom in zip(*(table.column(c).to_pylist() for c in ("layer", "fid", "value")), geoms, strict=True):
+            polygon = [r for r in geom if len(r) > 1]
             if polygon:
                 mine.setdefault(layer, []).append((fid, value, polygon))
         for rows in mine.values():
@@ -112,10 +114,12 @@ def block_density(least: int = 20) -> Callable[[Layers], Rows]:
         faces, buildings = stages.inner_blocks(lines(layers, "roads"), polygons(layers, "buildings")), polygons(layers, "buildings")
         pair = planar.meet(faces, buildings)
         out, values = [], []
+        size = np.array([planar.area(b) for b in buildings])
         for i in np.unique(pair[:, 0]):
-            mine = [buildings[j] for j in pair[pair[:, 0] == i, 1]]
+            mine = pair[pair[:, 0] == i, 1]
             if len(mine) > least:
-                covered = sum(planar.area(p) for b in mine for p in planar.intersection([b], [faces[i]]))
+                whole = planar.holds(faces[i], [buildings[j] for j in mine])
+                covered = size[mine[whole]].sum() + sum(planar.area(p) for j in mine[~whole] for p in planar.intersection([buildings[j]], [faces[i]]))
                 out.append(faces[i])
                 values.append(100 * covered / planar.area(faces[i]))
         return numbered("block", out, values)

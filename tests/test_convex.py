@@ -58,3 +58,29 @@ def test_halves_are_the_kernels_pieces():
     for got, p, e in zip(columns._pieces(column(a), cuts).to_pylist(), a, ends, strict=True):
         want = columns._ordered(planar.split(p, e.reshape(1, 4)))
         assert np.allclose([planar.ring_area(columns.to_polygon(g)[0]) for g in got], [planar.area(w) for w in want], atol=1e-3)
+
+
+def test_outline_of_crowded_rings_takes_little(monkeypatch):
+    """Lines inside a crowd of grown buildings go before pairs are made, which were millions; the outline is the same without that."""
+    random = np.random.default_rng(5)
+    corner = random.integers(0, 40, (600, 2)) * 25.0 + 2
+    squares = [[np.array([(0, 0), (s, 0), (s, s), (0, s), (0, 0)]) + c] for c, s in zip(corner, random.integers(5, 21, 600), strict=True)]
+    rings = [p[0] for p in planar.buffer(squares, 100.0, dissolve=False)]
+    rings += [np.roll(rings[0][:-1], 3, 0)[[*range(24), 0]], rings[1].copy()]
+    made = []
+    plain = planar.box_pairs
+    monkeypatch.setattr(planar, "box_pairs", lambda *a: made.append(plain(*a)) or made[-1])
+    length = lambda o: np.hypot(*(o[:, 2:] - o[:, :2]).T).sum()
+    found = planar.convex_outline(rings)
+    few = sum(map(len, made))
+    monkeypatch.setattr(planar, "_covered", lambda lines, *_: np.zeros(len(lines), bool))
+    every = planar.convex_outline(rings)
+    assert np.isclose(length(found), length(every)) and length(found) > 4000
+    assert few < 0.2 * (sum(map(len, made)) - few)
+
+
+def test_density_by_whole_buildings(spark):
+    face = [np.array([(0, 0), (100, 0), (100, 100), (0, 100), (0, 0)], float)]
+    inner, across = ([np.array([(x, 5), (x + 10, 5), (x + 10, 15), (x, 15), (x, 5)], float)] for x in (90, 95))
+    assert planar.holds(face, [inner, across]).tolist() == [True, False]
+    assert planar.holds([face[0], inner[0][::-1]], [inner]).tolist() == [False]  # a hole: left to the kernel
