@@ -84,3 +84,16 @@ def test_density_by_whole_buildings(spark):
     inner, across = ([np.array([(x, 5), (x + 10, 5), (x + 10, 15), (x, 15), (x, 5)], float)] for x in (90, 95))
     assert planar.holds(face, [inner, across]).tolist() == [True, False]
     assert planar.holds([face[0], inner[0][::-1]], [inner]).tolist() == [False]  # a hole: left to the kernel
+
+
+def test_centroids_by_batches(spark):
+    from pyspark.sql import functions as F
+
+    from loamgrid.functions import geometry as G
+
+    hole = [np.array([(0, 0), (9, 0), (9, 6), (0, 6), (0, 0)], float), np.array([(1, 1), (1, 4), (3, 4), (3, 1), (1, 1)], float)]
+    found = shapes(np.random.default_rng(6), 20) + [hole, hole[::-1][:1]]
+    rows = [(i, columns.from_polygon(p)) for i, p in enumerate(found)] + [(99, None)]
+    df = spark.createDataFrame(rows, "i long, geom array<array<struct<x:double,y:double>>>")
+    for r in df.select("i", columns.centroid("geom").alias("a"), G.polygon_centroid("geom").alias("b")).collect():
+        assert (r.a is None) == (r.i == 99) and (r.a is None or np.allclose(tuple(r.a), tuple(r.b)))
