@@ -34,12 +34,15 @@ def fingerprint(text: str | None, width: int = SHINGLE) -> int:
     if not words:
         return 0
     shingles = map(b" ".join, zip(*(words[i:] for i in range(width)))) if len(words) >= width else iter([b" ".join(words)])  # noqa: B905
-    n = max(1, len(words) - width + 1)
-    codes = np.fromiter(map(xxhash.xxh64_intdigest, shingles, repeat(SEED)), np.uint64, n)
+    return majority(np.fromiter(map(xxhash.xxh64_intdigest, shingles, repeat(SEED)), np.uint64, max(1, len(words) - width + 1)))
+
+
+def majority(codes: np.ndarray) -> int:
+    """Unsigned fingerprint of hashes: a bit is 1 if it is set in over half of them; 0 if there are none."""
     ones = np.zeros(64, np.int64)
-    for i in range(0, n, 1 << 14):
+    for i in range(0, len(codes), 1 << 14):
         ones += np.unpackbits(codes[i : i + (1 << 14)].view(np.uint8).reshape(-1, 8), axis=1, bitorder="little").sum(axis=0, dtype=np.int32)
-    return int.from_bytes(np.packbits(2 * ones > n, bitorder="little").tobytes(), "little")
+    return int.from_bytes(np.packbits(2 * ones > len(codes), bitorder="little").tobytes(), "little")
 
 
 def fingerprints(docs: DataFrame) -> DataFrame:
