@@ -26,3 +26,12 @@ def test_distinct_geometries_where_buildings_coincide(spark, shifted):
     want = con.execute(plans.ORACLE_SQL["distinct_geometries"]).fetchall()
     got = plans.QUERIES["distinct_geometries"](spark, shifted).select("fid", "pid").collect()
     assert sorted(map(tuple, got)) == sorted(want)
+
+
+def test_filtered_buildings_where_buildings_coincide(spark, shifted):
+    con = duckdb.connect()
+    for name in ("orders", "nation"):
+        con.execute(f"CREATE VIEW {name} AS SELECT * FROM '{shifted}/{name}.parquet/*.parquet'")
+    want = con.execute(plans.ORACLE_SQL["filtered_buildings"]).fetchall()
+    got = plans.QUERIES["filtered_buildings"](spark, shifted).select("fid", "group_id").collect()
+    assert sorted(map(tuple, got)) == sorted(want)
