@@ -41,7 +41,7 @@ def path_pieces(ring: np.ndarray, step: float) -> np.ndarray:
 def city_blocks(part: Polygon, roads: np.ndarray, buildings: list[Polygon]) -> list[Polygon]:
     """Faces between the partition's outline and the roads in it that a building touches."""
     faces = polygonize(np.concatenate([planar.clip_lines(roads, [part]), segments([part])]))
-    return [faces[i] for i in np.unique(meet(faces, buildings)[:, 0])]
+    return [faces[i] for i in np.unique(meet(faces, planar.outermost(buildings))[:, 0])]
 
 
 def inner_blocks(roads: np.ndarray, buildings: list[Polygon], distance: float = 100.0) -> list[Polygon]:
@@ -49,6 +49,7 @@ def inner_blocks(roads: np.ndarray, buildings: list[Polygon], distance: float =
     faces = polygonize(roads)
     if not faces or not buildings:
         return faces
+    buildings = planar.outermost(buildings)
     outline = planar.convex_outline([g[0] for g in buffer(buildings, distance, dissolve=False)]) if all(map(planar.is_convex, buildings)) else segments(buffer(buildings, distance))
     hit = np.unique(meet(faces, [outline])[:, 0]) if len(outline) else []
     return [f for i, f in enumerate(faces) if i not in set(hit)]
@@ -60,6 +61,7 @@ def inner_blocks(roads: np.ndarray, buildings: list[Polygon], distance: float =
 def roads_near(roads: np.ndarray, buildings: list[Polygon], step: float = 20.0, distance: float = 25.0) -> np.ndarray:
     """Pieces of roads within a distance of a building (measured, where the original method asks 20-gons around the pieces)."""
     cut, _ = pieces(roads, step)
+    buildings = planar.outermost(buildings)
     border = segments(buildings)
     if not len(cut) or not len(border):
         return np.zeros((0, 4))
@@ -173,6 +175,7 @@ def erode(settlement: list[Polygon], buildings: list[Polygon], least: float = 50
     contact to the outline of the rest isn't removed.
     """
     whole = union(settlement, grid=SNAP)
+    buildings = planar.outermost(buildings)  # a building within another has a smaller zone, within the other's
     near = [buildings[i] for i in np.unique(meet(whole, buildings)[:, 1])] if whole else []
     if not near:
         return whole

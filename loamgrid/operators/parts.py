@@ -114,7 +114,7 @@ def block_density(least: int = 20) -> Callable[[Layers], Rows]:
         faces, buildings = stages.inner_blocks(lines(layers, "roads"), polygons(layers, "buildings")), polygons(layers, "buildings")
         pair = planar.meet(faces, buildings)
         out, values = [], []
-        size = np.array([planar.area(b) for b in buildings])
+        size = planar.areas(buildings)
         for i in np.unique(pair[:, 0]):
             mine = pair[pair[:, 0] == i, 1]
             if len(mine) > least:
@@ -204,7 +204,7 @@ def dense_of(blocks: list[planar.Polygon], shapes: list[planar.Polygon], least_c
     """Blocks of which the whole areas of the shapes that touch them are at least a percentage."""
     if not blocks or not shapes:
         return []
-    pair, size = planar.meet(blocks, shapes), np.array([planar.area(p) for p in shapes])
+    pair, size = planar.meet(blocks, shapes), planar.areas(shapes)
     cover = 100 * np.bincount(pair[:, 0], size[pair[:, 1]], len(blocks)) / np.array([planar.area(b) for b in blocks])
     return [b for b, c, n in zip(blocks, cover, np.bincount(pair[:, 0], minlength=len(blocks)), strict=True) if n and c >= least_cover]
 

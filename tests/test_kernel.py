@@ -261,3 +261,22 @@ def test_gap_in_holes():
 def test_hole_close(size, most, want):
     layer = [hole(sq(0, 0, 100), sq(30, 30, size)) if size else sq(0, 0, 100)]
     assert total(stages.close_holes(layer, most)) == pytest.approx(want)
+
+
+def test_stacked_shapes_cost_as_much_as_the_outermost(monkeypatch):
+    """What lies in a rectangle of the same corner changes no union, no blocks and no zones, and doesn't get to the overlays."""
+    square = lambda x, y, s: [np.array([(x, y), (x + s, y), (x + s, y + s), (x, y + s), (x, y)], float)]
+    at = [(40.0 * i, 40.0 * j) for i in range(12) for j in range(12)]
+    stack = [square(x, y, s) for x, y in at for s in (20.0, *range(5, 20), 20.0)]
+    notch = [np.array([(0, 0), (30, 0), (30, 9), (9, 9), (9, 30), (0, 30), (0, 0)], float)]  # wider than the rectangles, and not full
+    every = [*stack, notch, []]
+    left = planar.outermost(every)
+    assert len(left) == len(at) + 1 and planar.outermost([]) == []
+    assert sum(map(planar.area, planar.union(left))) == pytest.approx(sum(map(planar.area, planar.union(every[:40], every[-2:], [p for p in stack if p[0][2, 0] - p[0][0, 0] == 20]))))
+    assert planar.areas([*every, [square(0, 0, 9)[0], square(2, 2, 3)[0][::-1]]]).tolist() == [*map(planar.area, every), 72.0]
+    roads = np.array([s for k in range(7) for s in ((80.0 * k - 5, -5, 80.0 * k - 5, 475), (-5, 80.0 * k - 5, 475, 80.0 * k - 5))])
+    seen, outline = [], planar.convex_outline
+    monkeypatch.setattr(planar, "convex_outline", lambda shapes: seen.append(len(shapes)) or outline(shapes))
+    found = [stages.inner_blocks(roads, shapes, 30.0) for shapes in (stack, [p for p in stack if planar.area(p) == 400][::2])]
+    assert seen == [len(at), len(at)] and len(found[0]) > 0
+    assert all(len(a) == len(b) and all((p == q).all() for p, q in zip(a, b, strict=True)) for a, b in zip(*found, strict=True))

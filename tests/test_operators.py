@@ -160,6 +160,36 @@ def test_kernel_stage_repairs_and_retries(spark):
     assert len(parts.robust(stage)({"a": [(1, None, [ring])]})) == 1 and len(calls) == 2
 
 
+def test_touching_groups_of_stacked_buildings(spark, monkeypatch):
+    """Buildings on top of each other make no pairs, whatever geometry they have, and take part in groups as all others."""
+    stack = [(x, 0, x + s, s) for x in (0, 20, 60) for s in (20, *range(1, 20), 20)]
+    diamond = (100, 0, 110, 10), (100, 0, 104, 4), (98, 7, 102, 12)  # the small square lies in the diamond's box, and meets the third only
+    df = boxes(spark, *stack, *diamond, (100, 1, 101, 9)).withColumn("geom", G.rect_polygon())
+    points = F.array(*(G.point(F.lit(float(x)), F.lit(float(y))) for x, y in ((105, 0), (110, 5), (105, 10), (100, 5), (105, 0))))
+    first = len(stack)
+    df = df.withColumn("geom", F.when(F.col("fid") == first, F.array(points)).otherwise(F.col("geom")))
+    df = df.withColumn("fid", 500 - F.col("fid"))
+    seen, components = [], patches.connected_components
+    monkeypatch.setattr(patches, "connected_components", lambda e: seen.append(e.count()) or components(e))
+    from loamgrid.kernel.columns import intersects
+
+    got = {500 - r.fid: 500 - r.group_id for r in patches.touching_groups(df, on=(), refine=lambda: intersects("l_geom", "r_geom")).collect()}
+    n = len(stack) // 3
+    assert seen[0] < 10
+    assert [got[i] for i in range(first)] == [2 * n - 1] * 2 * n + [first - 1] * n
+    assert [got[first + i] for i in range(4)] == [first + 3, first + 3, first + 3, first + 3]
+    plain = {500 - r.fid: 500 - r.group_id for r in patches.touching_groups(df.drop("geom"), on=()).collect()}
+    assert [plain[i] for i in range(first)] == [got[i] for i in range(first)]
+
+
+def test_inner_density_is_worked_out_once(spark, sf, monkeypatch):
+    seen, inner = [], pipeline._inner_density
+    monkeypatch.setattr(pipeline, "_inner_density", lambda *a: seen.append(1) or inner(*a))
+    monkeypatch.setattr(parts, "settlement", lambda *_: lambda layers: [])
+    pipeline.delineate(small_layers(spark, sf), filters.filter_codes(filters.text_lines(spark, X.FILTER_TEXT)), Params())
+    assert len(seen) == 1
+
+
 def small_layers(spark, sf):
     """Two partitions of the fixture."""
     two = lambda df: df.where("pid < 2")
