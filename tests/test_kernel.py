@@ -280,3 +280,12 @@ def test_stacked_shapes_cost_as_much_as_the_outermost(monkeypatch):
     found = [stages.inner_blocks(roads, shapes, 30.0) for shapes in (stack, [p for p in stack if planar.area(p) == 400][::2])]
     assert seen == [len(at), len(at)] and len(found[0]) > 0
     assert all(len(a) == len(b) and all((p == q).all() for p, q in zip(a, b, strict=True)) for a, b in zip(*found, strict=True))
+
+
+def test_meet_in_parts(monkeypatch):
+    square = lambda x, y, s: [np.array([(x, y), (x + s, y), (x + s, y + s), (x, y + s), (x, y)], float)]
+    a, b = [square(7.0 * i, 3.0 * (i % 5), 8) for i in range(20)], [square(5.0 * i, 2.0 * (i % 7), 1 + i % 9) for i in range(30)]
+    want = planar.meet(a, b)
+    monkeypatch.setattr(planar, "MET", 4)
+    assert len(want) > 20 and planar.meet(a, b).tolist() == want.tolist()
+    assert planar.meet(a, b[:3]).tolist() == want[want[:, 1] < 3].tolist() and planar.meet(a, []).shape == (0, 2)

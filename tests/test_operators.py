@@ -180,6 +180,7 @@ def test_touching_groups_of_stacked_buildings(spark, monkeypatch):
     assert [got[first + i] for i in range(4)] == [first + 3, first + 3, first + 3, first + 3]
     plain = {500 - r.fid: 500 - r.group_id for r in patches.touching_groups(df.drop("geom"), on=()).collect()}
     assert [plain[i] for i in range(first)] == [got[i] for i in range(first)]
+    assert sorted(500 - i for i in ids(patches.outermost(df))) == [0, n, 2 * n, *range(first, first + 4)]  # of equal ones that of the largest key; pid is 0 for all
 
 
 def test_inner_density_is_worked_out_once(spark, sf, monkeypatch):
